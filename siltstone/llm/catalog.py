@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import leakage, percentiles, splitting, tokenizing
+from siltstone.llm import leakage, percentiles, spam_pages, splitting, tokenizing
 
-MODULES = (splitting, percentiles, tokenizing, leakage)
+MODULES = (splitting, percentiles, tokenizing, leakage, spam_pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
