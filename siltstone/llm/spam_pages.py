@@ -106,14 +106,15 @@ def spam_share(text: str) -> float:
     for part in parts:
         found = shape(part)
         if found is None:
-            prose.append(part)
+            if not LOG.match(part):
+                prose.append(part)
         else:
             shapes[found] += len(part)
     if prose:
         lowered = [[w.lower() for w in WORD.findall(p)] for p in prose]
         stuffed = [0.0] * len(prose)
         # keyword fragments: short segments that share their words with most of the others
-        short = [i for i, w in enumerate(lowered) if 1 < len(w) <= 6 and not LOG.match(prose[i])]
+        short = [i for i, w in enumerate(lowered) if 1 < len(w) <= 6]
         if len(short) >= 5:
             pairs = Counter(p for i in short for p in {*zip(lowered[i], lowered[i][1:], strict=False)})
             singles = Counter(w for i in short for w in set(lowered[i]) if len(w) >= 4)
