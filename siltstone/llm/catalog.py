@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import leakage, percentiles, quoted_mail, spam_pages, splitting, tokenizing
+from siltstone.llm import disclosure, leakage, percentiles, quoted_mail, spam_pages, splitting, tokenizing
 
-MODULES = (splitting, percentiles, tokenizing, leakage, spam_pages, quoted_mail)
+MODULES = (splitting, percentiles, tokenizing, leakage, spam_pages, quoted_mail, disclosure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
