@@ -17,24 +17,21 @@ fixed size, and what passes it is checked by a join with the lexicon itself.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm import bloom
 from siltstone.session import cut_lineage
 from siltstone.tables import table
 
 MIN_BITS = 2.0
 MIN_PARTNERS = 2
-BLOOM_BITS = 1 << 23
-BLOOM_HASHES = 4
 #: Counters and caches of a worker are emptied at this size; their partial counts are added up later.
 FLUSH = 200_000
 
@@ -118,11 +115,6 @@ SNIPPET = 24
 JOIN = 40
 
 
-def bloom_positions(term: str) -> list[int]:
-    raw = hashlib.blake2b(term.encode("utf-8", "replace"), digest_size=16).digest()
-    return [int.from_bytes(raw[4 * i : 4 * i + 4], "little") % BLOOM_BITS for i in range(BLOOM_HASHES)]
-
-
 def addresses(text: str) -> Iterator[tuple[int, int, str]]:
     """Span and local part of each mail address, plain or disguised."""
     for at in AT.finditer(text):
@@ -253,21 +245,6 @@ def lexicon(counts: DataFrame, min_bits: float = MIN_BITS, min_partners: int = M
     return kept.groupBy("term").agg(F.max(F.col("role") == "given").alias("given"), F.max(F.col("role") == "family").alias("family"), F.max("bits").alias("bits"))
 
 
-def bloom_filter(terms: DataFrame) -> bytes:
-    """The filter over all terms: built by the workers, of ``BLOOM_BITS`` bits whatever their number."""
-
-    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = np.array([p for t in batch["term"] for p in bloom_positions(t)], dtype=np.int64)
-            yield pd.DataFrame({"slot": (at >> 6).astype(np.int32), "bit": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
-
-    slots = terms.select("term").mapInPandas(positions, "slot int, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    table_ = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
-    for row in slots.collect():
-        table_[row["slot"]] = row["bits"]
-    return np.unpackbits(table_.view(np.uint8), bitorder="little").tobytes()
-
-
 FOUND = "source_table string, record_id string, version string, typed array<struct<kind:string,start_at:int,end_at:int>>, clusters array<struct<base:int,snippet:string,terms:array<struct<start_at:int,end_at:int,term:string>>>>"
 
 
@@ -276,18 +253,10 @@ def search(texts: DataFrame, bits: bytes) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = shared.value
-        known: dict[str, bool] = {}
+        member = bloom.Member(shared.value)
 
         def possible(word: str) -> bool:
-            hit = known.get(word)
-            if hit is None:
-                low = word.lower()
-                hit = len(low) > 1 and all(flags[p] for p in bloom_positions(low))
-                if len(known) >= FLUSH:
-                    known.clear()
-                known[word] = hit
-            return hit
+            return len(word) > 1 and member(word.lower())
 
         def clusters(text: str, typed: list[tuple[str, int, int]]) -> list[dict]:
             hits: list[tuple[int, int, str]] = []
@@ -347,7 +316,7 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     Null and empty texts mention nothing. Repeated deliveries count once; of deliveries equal in
     time the one greatest in its findings is kept. Mentions never overlap those found by form.
     """
-    found = search(texts, bloom_filter(names))
+    found = search(texts, bloom.build(names))
     last = found.groupBy("source_table", "record_id").agg(F.max(F.struct("version", "typed", "clusters")).alias("l")).select("source_table", "record_id", "l.typed", "l.clusters")
     last = cut_lineage(last)  # both branches below read it
     keys = ["source_table", "record_id"]
