@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import disclosure, leakage, percentiles, quoted_mail, scanned_pages, spam_pages, splitting, tokenizing
+from siltstone.llm import disclosure, foreign_code, leakage, percentiles, quoted_mail, scanned_pages, spam_pages, splitting, tokenizing
 
-MODULES = (scanned_pages, splitting, percentiles, tokenizing, leakage, spam_pages, quoted_mail, disclosure)
+MODULES = (scanned_pages, splitting, percentiles, tokenizing, leakage, spam_pages, quoted_mail, disclosure, foreign_code)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
