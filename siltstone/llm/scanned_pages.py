@@ -30,8 +30,8 @@ from siltstone.tables import table
 
 SYMBOLS = "|€†¢§@!$£"
 #: Symbols that a word of natural language never holds.
-SURE = re.compile(r"[^\W\d_][|€†¢ſ§]|[|€†¢ſ§][^\W\d_]")
-TOKEN = re.compile(rf"(?:[^\W_]|[{re.escape(SYMBOLS)}])+")
+SURE = re.compile(r"(?<=[^\W\d_])[|€†¢§]|[|€†¢§](?=[^\W\d_])|ſ")
+TOKEN = re.compile(rf"[\w|€†¢](?:[\w{re.escape(SYMBOLS)}]*[\w|€†¢])?")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 HYPHENS = "-‐¬\xad"
 BREAK = re.compile(rf"([^\W_]+)([{HYPHENS}])[ \t]*$")
@@ -68,6 +68,7 @@ PAGE_BARE = re.compile(rf"(?:\d{{1,4}}|{ROMAN})")
 PAGE_SIDE = rf"(?:(?:p\.|page|seite|s\.)\s?)?(?:{NUMBER}|[-–—]\s?{NUMBER}\s?[-–—]|\d{{1,4}}\s?/\s?\d{{1,4}})"
 SIDE = re.compile(rf"(?:(?P<left>{PAGE_SIDE})\s{{2,}}(?P<a>\S.*\S))|(?:(?P<b>\S.*?\S)\s{{2,}}(?P<right>{PAGE_SIDE}))", re.I)
 LABEL = re.compile(r"[^\W\d_]+:?")
+LONGEST_NUMBER = 24
 FULL = 0.88  # of the widest line: a line of running text
 EDGE = 2  # so many non-blank lines from the start and the end of a page can be headers or footers
 
@@ -106,6 +107,8 @@ def layout(body: str) -> Page:
     page_lines: set[int] = set()
     for n, i in enumerate(filled):
         text = lines[i].strip()
+        if len(text) > LONGEST_NUMBER:
+            continue
         if PAGE_SURE.fullmatch(text):
             page_lines.add(i)
         elif PAGE_BARE.fullmatch(text):
@@ -128,7 +131,7 @@ def layout(body: str) -> Page:
         text = lines[i].strip()
         if i in page_lines or len(text) > 90:
             continue
-        side = SIDE.fullmatch(text)
+        side = SIDE.fullmatch(text) if "  " in text else None
         core = (side["a"] or side["b"]) if side else text
         words = core.split()
         if len(words) < 2 or core[-1] in ".;:,?!" and core[-1] != "!" or core[-1] in HYPHENS:
@@ -144,7 +147,7 @@ def layout(body: str) -> Page:
                 sides.add(i)
     breaks: dict[int, tuple[str, str, int, str]] = {}
     for n, i in enumerate(filled):
-        m = BREAK.search(lines[i])
+        m = BREAK.search(lines[i]) if lines[i].rstrip()[-1] in HYPHENS else None
         if m is None or any(c.isdigit() for c in m[1]):
             continue
         goes_on, word = -1, ""
@@ -163,6 +166,10 @@ def layout(body: str) -> Page:
     return Page(lines, page_lines, sides, titles, breaks)
 
 
+def is_word(token: str) -> bool:
+    return not token.isdigit() and (len(token) > 1 or token.isalpha())
+
+
 def tokens_of(page: Page) -> dict[int, list[tuple[int, int, str]]]:
     """Words of each line as (start, end, word); a broken word is one word of the line in which it begins."""
     out: dict[int, list[tuple[int, int, str]]] = {}
@@ -170,31 +177,38 @@ def tokens_of(page: Page) -> dict[int, list[tuple[int, int, str]]]:
     for i, line in enumerate(page.lines):
         if i in page.page_lines or not line:
             continue
-        found = []
-        for m in TOKEN.finditer(line):
-            word = m[0]
-            end = m.end()
-            stripped = word.rstrip("!@$£§")
-            end -= len(word) - len(stripped)
-            start = m.start() + len(stripped) - len(stripped.lstrip("!$£§@"))
-            word = line[start:end]
-            if any(c.isalpha() for c in word):
-                found.append((start, end, word))
+        found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(line) if is_word(m[0])]
         if i in taken and found:
             found = found[1:]
         if i in page.breaks and found:
             left, _, j, word = page.breaks[i]
-            start, end, _ = found[-1]
             if j >= 0:
-                found[-1] = (start, len(line), left + word)
+                found[-1] = (found[-1][0], len(line), left + word)
             else:
                 found.pop()
         out[i] = found
     return out
 
 
-def plain(word: str) -> str:
-    return word.lower()
+def words_of(page: Page) -> dict[int, list[str]]:
+    """The words of ``tokens_of`` in lower case, without their places."""
+    out: dict[int, list[str]] = {}
+    taken = {b[2] for b in page.breaks.values() if b[2] >= 0}
+    for i, line in enumerate(page.lines):
+        if i in page.page_lines or not line:
+            continue
+        found = [w for w in TOKEN.findall(line.lower()) if not w.isdigit() and (len(w) > 1 or w.isalpha())]
+        if found:
+            if i in taken:
+                del found[0]
+            if i in page.breaks and found:
+                left, _, j, word = page.breaks[i]
+                if j >= 0:
+                    found[-1] = (left + word).lower()
+                else:
+                    found.pop()
+        out[i] = found
+    return out
 
 
 def correctable(word: str) -> bool:
@@ -244,29 +258,31 @@ def ngram_counts(pages: DataFrame) -> DataFrame:
     """a, b and n: counts of words (b is empty) and of pairs of neighbours, over all lines."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        single: Counter = Counter()
+        double: Counter = Counter()
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
-            seen.clear()
+            out = pd.DataFrame([*((a, "", n) for a, n in single.items()), *((a, b, n) for (a, b), n in double.items())], columns=["a", "b", "n"])
+            single.clear()
+            double.clear()
             return out
 
         for batch in batches:
             for body in batch["body"]:
                 page = layout(body)
                 stream = []
-                for i, words in tokens_of(page).items():
+                for i, words in words_of(page).items():
                     cut = page.breaks.get(i)
                     if words and cut is not None and cut[1] == "-" and cut[2] >= 0:
-                        words = words[:-1]  # whether it is one word is what the counts shall tell
-                    stream += [plain(w) for _, _, w in words]
-                    for m in COMPOUND.finditer(page.lines[i]):
-                        word = m[0].lower()
-                        seen[word, ""] += 1
-                        seen[word.partition("-")[0] + "-", ""] += 1
-                seen.update((w, "") for w in stream)
-                seen.update(p for p in zip(stream, stream[1:], strict=False) if p[1])
-                if len(seen) > FLUSH:
+                        words.pop()  # whether it is one word is what the counts shall tell
+                    stream += words
+                    if "-" in page.lines[i]:
+                        for word in COMPOUND.findall(page.lines[i].lower()):
+                            single[word] += 1
+                            single[word.partition("-")[0] + "-"] += 1
+                single.update(stream)
+                double.update(zip(stream, stream[1:], strict=False))
+                if len(double) > FLUSH or len(single) > FLUSH:
                     yield rows()
         yield rows()
 
@@ -321,10 +337,10 @@ def inspect(pages: DataFrame, flags: bytes) -> DataFrame:
                         dashes.append({"joined": (left + word).lower(), "compound": f"{left}-{word}".lower()})
                     else:
                         dashes.append({"joined": "", "compound": f"{left}-".lower()})
-                streams = [(i, [plain(w) for _, _, w in found]) for i, found in tokens_of(page).items() if found]
+                streams = [(i, words) for i, words in words_of(page).items() if words]
                 for n, (i, words) in enumerate(streams):
-                    hits = [correctable(w) and member(w) for w in words]
-                    sure = sure or any(SURE.search(w) for w in words)
+                    hits = [member(w) and correctable(w) for w in words]
+                    sure = sure or bool(SURE.search(page.lines[i]))
                     if any(hits):  # with the last word of the line before and the first of the next as context
                         before = streams[n - 1][1][-1] if n else ""
                         after = [streams[n + 1][1][0]] if n + 1 < len(streams) else []
