@@ -6,22 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.plans import text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _modules() -> list:
-    return []
+MODULES = (text_queries,)
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for module in _modules():
+    for module in MODULES:
         found |= module.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for module in _modules():
+    for module in MODULES:
         found |= module.SQL
     return found
