@@ -13,7 +13,8 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def freshness(age_days: Column, half_life: float) -> Column:
-    return F.exp(-F.greatest(age_days, F.lit(0.0)) / half_life)
+    """exp(-age/half-life), 1 for what lies in the future, null without an age."""
+    return F.when(age_days.isNotNull(), F.exp(-F.greatest(age_days, F.lit(0.0)) / half_life))
 
 
 def lifecycle_score(confidence: Column, age_days: Column, confirmation_age: Column, reinforcement: Column, usage: Column, penalty: Column) -> Column:
