@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 from siltstone.functions import scores as SC
 from siltstone.functions import text as X
+from siltstone.operators import code as C
 from siltstone.operators import search as S
 from siltstone.operators import similarity as D
+from siltstone.operators.rerank import rerank
 from siltstone.plans.registry import Registry
 from siltstone.tables import latest, table
 
@@ -274,6 +276,32 @@ def search_brief(spark, d):
     return packed.join(ranked.select("query_id", "doc_id", "rank", "margin", "duplicates"), ["query_id", "doc_id"])
 
 
+@query(name="rerank_scores")
+def rerank_scores(spark, d):
+    """The fused pool of each query in the order of a deterministic scorer."""
+    pool = S.top_k(fused(spark, d).withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", "rank")
+    rows = pool.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(cases(spark, d), "query_id")
+    return rerank(rows)
+
+
+@query(name="explain_struct")
+def explain_struct(spark, d):
+    """Why a result stands where it does: streams, raw scores, margin, scope, filters."""
+    hits = S.with_margin(fused(spark, d).withColumn("score", F.round("score", 9)), ["query_id"]).where("rank <= 5")
+    meta = docs(spark, d).select("doc_id", "source", "lang", "kind")
+    raw = F.map_from_arrays(F.array(F.lit("rrf")), F.array(F.col("score")))
+    told = F.struct("streams", raw.alias("raw_scores"), "rank", "margin", F.struct(F.col("source").alias("root"), F.lit("local_first").alias("mode")).alias("scope"), F.struct("lang", "kind").alias("filters"))
+    return hits.join(meta, "doc_id").select("query_id", "doc_id", F.to_json(told).alias("explanation"))
+
+
+@query(name="code_symbols")
+def code_symbols(spark, d):
+    """Declarations in the code assets' chunks."""
+    assets = latest(table(spark, d, "source_assets").where("file_kind = 'code'").select("id", "path", "updated_at"), "id", "updated_at").select(F.col("id").alias("asset_id"), "path")
+    chunks = latest(table(spark, d, "asset_chunks").select("id", "asset_id", "body", "updated_at"), "id", "updated_at")
+    return C.code_symbols(chunks.join(assets, "asset_id"), text="body")
+
+
 # ------------------------------------------------------------------ duplicates
 
 
