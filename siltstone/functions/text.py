@@ -73,7 +73,7 @@ def query_terms(c: Column | str) -> Column:
 
 
 def ascii_tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(col(c)), "[^a-z0-9]+"), "")
 
 
 def chunk_starts(c: Column | str, size: int) -> Column:
@@ -82,10 +82,13 @@ def chunk_starts(c: Column | str, size: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
 
 
-def snippet(text: Column | str, terms: Column, width: int = 240) -> Column:
-    """A window of ``width`` characters from a quarter before the first matching term, with ellipses where it is cut."""
-    clean = collapse_space(text)
-    lower = F.lower(clean)
+def snippet(clean: Column | str, lower: Column | str, terms: Column, width: int = 240) -> Column:
+    """A window of ``width`` characters from a quarter before the first matching term, with ellipses where it is cut.
+
+    Takes the text with its white space collapsed and the same in lower case, as columns of an
+    earlier step, so that neither is computed once per term.
+    """
+    clean, lower = col(clean), col(lower)
     places = F.filter(F.transform(terms, lambda t: F.instr(lower, t)), lambda p: p > 0)
     first = F.coalesce(F.array_min(places), F.lit(1)) - 1
     n = F.length(clean)
@@ -94,8 +97,9 @@ def snippet(text: Column | str, terms: Column, width: int = 240) -> Column:
     return F.when(n <= width, clean).otherwise(F.concat(F.when(start > 0, "...").otherwise(""), piece, F.when(start + width < n, "...").otherwise("")))
 
 
-def short_snippet(text: Column | str, width: int = 280) -> Column:
-    clean = collapse_space(text)
+def short_snippet(clean: Column | str, width: int = 280) -> Column:
+    """The first ``width`` characters of a text whose white space is collapsed."""
+    clean = col(clean)
     return F.when(F.length(clean) <= width, clean).otherwise(F.concat(F.substring(clean, 1, width), F.lit("…")))
 
 

@@ -6,13 +6,14 @@ by the document's key everywhere, so that results do not depend on partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.functions import vectors as V
 from siltstone.session import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -39,12 +40,12 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     Documents are read once for their lengths and once for the postings of the queries' terms;
     only these postings are shuffled.
     """
-    present = docs.where(F.col(text).isNotNull())
-    lengths = present.select(key, F.size(X.ascii_tokens(text)).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    # the tokens are a step of their own: beside an explode they would be computed once per token
+    present = docs.where(F.col(text).isNotNull()).select(key, X.ascii_tokens(text).alias("_ts")).select(key, "_ts", F.size("_ts").alias("dl"))
+    stats = present.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     wanted = queries.select(query_key, F.explode(F.array_distinct(X.ascii_tokens(query))).alias("term"))
     terms = small(wanted.select("term").distinct())
-    tokens = present.select(key, F.size(X.ascii_tokens(text)).alias("dl"), F.explode(X.ascii_tokens(text)).alias("term"))
+    tokens = present.select(key, "dl", F.explode("_ts").alias("term"))
     postings = tokens.join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
     postings = cut_lineage(postings)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -71,14 +72,43 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     found = None
     for number in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == number)
-        packed = part.agg(F.collect_list(F.struct(F.col(query_key).alias("q"), F.col(vector).alias("v"))).alias("qs"))
-        # one row, bounded by block_rows, meets every vector: no pairs are shuffled before the top k
-        scored = vectors.select(key, vector).join(F.broadcast(packed)).select(key, vector, F.explode("qs").alias("x"))
-        scored = scored.select(F.col("x.q").alias(query_key), key, V.cosine(F.col(vector), F.col("x.v")).alias("score")).where(F.col("score").isNotNull())
-        found = scored if found is None else found.unionByName(scored)
+        rows = [(r[0], r[1]) for r in part.select(query_key, vector).where(F.col(vector).isNotNull()).collect()]  # at most a block
+        one = _nearest(vectors, rows, k, key, vector, query_key, queries.schema[query_key].dataType.simpleString())
+        found = one if found is None else found.unionByName(one)
     return top_k(found, k, query_key, key)
 
 
+def _nearest(vectors: DataFrame, rows: list[tuple], k: int, key: str, vector: str, query_key: str, key_type: str) -> DataFrame:
+    """The best ``k`` of every batch of vectors for each query, by one matrix product per batch and dimension."""
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    for size in {len(v) for _, v in rows}:
+        chosen = [(q, v) for q, v in rows if len(v) == size and any(v)]
+        if chosen:
+            m = np.array([v for _, v in chosen], dtype=np.float64)
+            by_size[size] = ([q for q, _ in chosen], m / np.linalg.norm(m, axis=1, keepdims=True))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch[vector].map(lambda v: -1 if v is None else len(v))
+            for size, (names, unit) in shared.value.items():
+                mine = batch[lengths == size]
+                if not len(mine):
+                    continue
+                m = np.stack(mine[vector].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(m, axis=1)
+                keys, m = mine[key].to_numpy()[norms > 0], m[norms > 0] / norms[norms > 0][:, None]
+                if not len(keys):
+                    continue
+                close = m @ unit.T
+                # the k-th best score of each query; everything that ties with it is kept
+                cut = np.partition(close, len(keys) - k, axis=0)[len(keys) - k] if len(keys) > k else np.full(len(names), -np.inf)
+                at, which = np.nonzero(close >= cut)
+                yield pd.DataFrame({query_key: [names[j] for j in which], key: keys[at], "score": close[at, which]})
+
+    return vectors.select(key, vector).mapInPandas(search, f"{query_key} {key_type}, {key} {vectors.schema[key].dataType.simpleString()}, score double")
+
+
 def trigram_similarity(a: Column | str, b: Column | str) -> Column:
     """Shared trigrams over all trigrams of two short texts; 0 where neither has any."""
     ta, tb = X.trigrams(a), X.trigrams(b)
@@ -88,8 +118,8 @@ def trigram_similarity(a: Column | str, b: Column | str) -> Column:
 
 def trigram_search(names: DataFrame, queries: DataFrame, key: str, name: str, query_key: str, query: str, threshold: float) -> DataFrame:
     """Names similar to a query: candidates share a trigram, counted per pair, so the exact similarity needs no second look at the texts."""
-    grams = names.select(key, F.explode(X.trigrams(name)).alias("g"), F.size(X.trigrams(name)).alias("n"))
-    asked = small(queries.select(query_key, F.explode(X.trigrams(query)).alias("g"), F.size(X.trigrams(query)).alias("m")))
+    grams = names.select(key, X.trigrams(name).alias("gs")).select(key, "gs", F.size("gs").alias("n")).select(key, F.explode("gs").alias("g"), "n")
+    asked = small(queries.select(query_key, X.trigrams(query).alias("gs")).select(query_key, F.explode("gs").alias("g"), F.size("gs").alias("m")))
     shared = grams.join(asked, "g").groupBy(query_key, key, "n", "m").agg(F.count(F.lit(1)).alias("s"))
     scored = shared.select(query_key, key, (F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("score"))
     return scored.where(F.col("score") >= threshold)

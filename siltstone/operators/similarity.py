@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,32 +24,54 @@ def exact_duplicates(frame: DataFrame, key: str, content: str) -> DataFrame:
     return digest.join(groups, "h").select(key, "canonical", "duplicates")
 
 
-def hyperplanes(dims: int, tables: int, bits: int, seed: int = 7) -> list[list[list[float]]]:
-    return np.random.RandomState(seed).normal(size=(tables, bits, dims)).round(6).tolist()
+TILE = 512
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:
     """a, b and similarity of all pairs of one block with cosine at or above the threshold, a < b.
 
-    Exact: each vector is projected on its first coordinates' norm bound. For unit vectors
-    cosine >= t implies that the scalar products with any fixed unit direction differ by at most
-    sqrt(2 - 2t); so vectors are placed on strips of that width along a direction and compared
-    with their own and the next strip only. Equal vectors are one representative first.
+    Exact. Equal vectors are one representative first (the least key of each); the rest of a
+    block is cut into tiles of about ``TILE`` rows, ordered along a fixed direction. Unit vectors
+    with cosine >= t differ by at most sqrt(2 - 2t) along any direction, so only tiles whose
+    ranges come that close meet, and two tiles meet as one matrix product: pairs below the
+    threshold are never rows. Vectors that are null or without length pair with nothing.
     """
-    unit = vectors.where(V.norm(vector) > 0).withColumn("_unit", F.transform(F.col(vector), lambda x: x.cast("double") / V.norm(vector)))
-    reps = unit.groupBy(block, "_unit").agg(F.min(key).alias("rep"))
-    dims = vectors.select(F.max(F.size(vector))).first()[0] or 1
+    unit = vectors.where(V.norm(vector) > 0).select(block, key, F.transform(F.col(vector), lambda x: x.cast("double")).alias("_v"))
+    reps = unit.groupBy(block, "_v").agg(F.min(key).alias("k"))
+    dims = reps.select(F.max(F.size("_v"))).first()[0] or 1
     direction = np.random.RandomState(11).normal(size=dims)
-    direction = (direction / np.linalg.norm(direction)).tolist()
-    width = max(1e-9, float(np.sqrt(max(0.0, 2 - 2 * threshold))))
-    place = V.dot(F.col("_unit"), F.array(*[F.lit(x) for x in direction]))
-    placed = reps.withColumn("strip", F.floor(place / width).cast("long"))
-    left = placed.select(block, "strip", F.col("rep").alias("a"), F.col("_unit").alias("va"))
-    right = placed.select(block, F.explode(F.array(F.col("strip"), F.col("strip") - 1)).alias("strip"), F.col("strip").alias("own"), F.col("rep").alias("b"), F.col("_unit").alias("vb"))
-    # a pair of one strip is met once in that strip; a pair of neighbouring strips once, in the lower one
-    met = left.join(right, [block, "strip"]).where((F.col("own") > F.col("strip")) | (F.col("a") < F.col("b")))
-    scored = met.select(block, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), V.dot("va", "vb").alias("similarity"))
-    return scored.where((F.col("similarity") >= threshold) & (F.col("a") != F.col("b"))).distinct()
+    direction /= np.linalg.norm(direction)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+    weights = F.array(*[F.lit(float(x)) for x in direction])
+    placed = reps.withColumn("p", V.dot("_v", weights) / V.norm("_v"))
+    counts = reps.groupBy(block).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / TILE)).cast("int").alias("tiles"))
+    # a tile is a slice of the projections' range; within a slice that is still too full, rows are dealt out by hash
+    sized = placed.join(counts, block).withColumn("t", F.struct(F.floor((F.col("p") + 1) * 8).alias("slice"), F.pmod(F.xxhash64("k"), F.col("tiles")).alias("deal")))
+    tiles = sized.groupBy(block, "t").agg(F.collect_list(F.struct("k", "_v")).alias("rows"), F.min("p").alias("low"), F.max("p").alias("high"))
+    a = tiles.select(block, F.col("t").alias("ta"), F.col("rows").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = tiles.select(block, F.col("t").alias("tb"), F.col("rows").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    met = a.join(b, block).where("ta <= tb").where((F.col("lb") - F.col("ha") <= reach) & (F.col("la") - F.col("hb") <= reach))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one, two, same in zip(batch["ra"], batch["rb"], batch["same"], strict=True):
+                ka, kb = [r["k"] for r in one], [r["k"] for r in two]
+                sizes = {len(r["_v"]) for r in one} | {len(r["_v"]) for r in two}
+                for size in sizes:
+                    ia = [i for i, r in enumerate(one) if len(r["_v"]) == size]
+                    ib = [i for i, r in enumerate(two) if len(r["_v"]) == size]
+                    if not ia or not ib:
+                        continue
+                    ma, mb = (np.array([rows[i]["_v"] for i in ix]) for rows, ix in ((one, ia), (two, ib)))
+                    ma /= np.linalg.norm(ma, axis=1, keepdims=True)
+                    mb /= np.linalg.norm(mb, axis=1, keepdims=True)
+                    close = ma @ mb.T
+                    x, y = np.nonzero(close >= threshold)
+                    rows = [(min(ka[ia[i]], kb[ib[j]]), max(ka[ia[i]], kb[ib[j]]), float(close[i, j])) for i, j in zip(x, y, strict=True) if not same or ka[ia[i]] < kb[ib[j]]]
+                    yield pd.DataFrame(rows, columns=["a", "b", "similarity"])
+
+    return met.select("ra", "rb", (F.col("ta") == F.col("tb")).alias("same")).mapInPandas(multiply, f"a {kind}, b {kind}, similarity double")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

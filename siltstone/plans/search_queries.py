@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 from siltstone.functions import scores as SC
 from siltstone.functions import text as X
+from siltstone.functions import vectors as V
 from siltstone.operators import code as C
 from siltstone.operators import search as S
 from siltstone.operators import similarity as D
@@ -153,7 +154,7 @@ def hybrid_weighted(spark, d):
     """0.55 closeness and 0.45 lexical score."""
     v = table(spark, d, "embeddings")
     target = [float(x) for x in v.where("vec_id = 0").first()["embedding"]]
-    close = S.V.cosine("embedding", F.array(*[F.lit(x) for x in target]))
+    close = V.cosine("embedding", F.array(*[F.lit(x) for x in target]))
     return v.select("vec_id", F.round(close * 0.55 + (F.lit(1.0) / (1 + F.col("vec_id") % 7)) * 0.45, 6).alias("score"))
 
 
@@ -366,21 +367,21 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s
 """
 
 
-@query(_PAIRS + "SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.6")
+@query(_PAIRS + "SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.35")
 def cosine_pairs(spark, d):
-    return D.cosine_pairs(table(spark, d, "embeddings"), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.cosine_pairs(table(spark, d, "embeddings"), 0.35).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
     "WITH RECURSIVE "
     + _PAIRS.strip().removeprefix("WITH ")
-    + """, e AS (SELECT a AS u, b AS v FROM p WHERE s >= 0.6 UNION SELECT b, a FROM p WHERE s >= 0.6),
+    + """, e AS (SELECT a AS u, b AS v FROM p WHERE s >= 0.35 UNION SELECT b, a FROM p WHERE s >= 0.35),
 w(u, m) AS (SELECT u, u FROM e UNION SELECT e.v, w.m FROM w JOIN e ON e.u = w.u)
 SELECT u AS node, min(m) AS component FROM w GROUP BY u
 """
 )
 def semantic_clusters(spark, d):
-    pairs = D.cosine_pairs(table(spark, d, "embeddings"), 0.6)
+    pairs = D.cosine_pairs(table(spark, d, "embeddings"), 0.35)
     return D.connected_components(pairs)
 
 

@@ -78,14 +78,16 @@ SELECT doc_id, CASE WHEN n <= 240 THEN t ELSE concat(CASE WHEN st > 0 THEN '...'
 )
 def snippet_window(spark, d):
     terms = F.array(F.lit("watcher"), F.lit("queue"))
-    return documents(spark, d).where("text is not null").select("doc_id", X.snippet("text", terms).alias("snippet"))
+    clean = documents(spark, d).where("text is not null").select("doc_id", X.collapse_space("text").alias("clean"))
+    return clean.select("doc_id", "clean", F.lower("clean").alias("lower")).select("doc_id", X.snippet("clean", "lower", terms).alias("snippet"))
 
 
 @query(
     "SELECT doc_id, CASE WHEN length(t) <= 280 THEN t ELSE concat(substring(t, 1, 280), '…') END AS snippet FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)"
 )
 def native_snippet(spark, d):
-    return documents(spark, d).where("text is not null").select("doc_id", X.short_snippet("text").alias("snippet"))
+    clean = documents(spark, d).where("text is not null").select("doc_id", X.collapse_space("text").alias("clean"))
+    return clean.select("doc_id", X.short_snippet("clean").alias("snippet"))
 
 
 @query("SELECT export_id, sha256(regexp_replace(text_body, '\\r\\n?', chr(10), 'g')) AS body_hash FROM (SELECT DISTINCT export_id, text_body FROM parsed_email) WHERE text_body IS NOT NULL")

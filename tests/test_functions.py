@@ -28,7 +28,7 @@ def test_text(spark):
 
 def test_snippets(spark):
     text = "word " * 100 + "watcher here " + "tail " * 100
-    got = one(spark, [(text,), ("short watcher",), (None,)], "t string", X.snippet("t", F.array(F.lit("watcher"))), X.short_snippet("t"))
+    got = one(spark, [(text,), ("short watcher",), (None,)], "t string", X.snippet(X.collapse_space("t"), F.lower(X.collapse_space("t")), F.array(F.lit("watcher"))), X.short_snippet(X.collapse_space("t")))
     assert "watcher" in got[0][0] and got[0][0].startswith("...") and got[0][0].endswith("...") and len(got[0][1]) == 281
     assert got[1] == ("short watcher", "short watcher") and got[2] == (None, None)
 
