@@ -49,7 +49,7 @@ DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}[A-Za-z]{{2,2
 # Each pattern below begins with the characters a match can begin with and looks behind
 # afterwards, so that the search can skip ahead.
 PHONE = re.compile(
-    r"[+(\d](?<![\w+.,/:-].)(?:"
+    r"[+(\d](?<![\w+.,/-].)(?<!\d:.)(?:"
     r"(?<=\+)\d{1,3}[ .-]?(?:\(0\))?(?:[ .-]?\(?\d{1,5}\)?)(?:[ .\-/]?\d{2,8}){1,5}"
     r"|(?<=\()\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}"
     r"|(?<=[2-9])\d{2}([-.])\d{3}\1\d{4}"
@@ -60,16 +60,13 @@ PHONE = re.compile(
 )
 
 #: Labels of personal numbers given by a state (short ones in capitals only), and the forms of the numbers.
-ID_WORDS = (
-    "social security|national insurance|steuer-id|steuernummer|tax id|tax number|tax no|sozialversicherung|numéro fiscal|sécurité sociale"
-    "|passport|reisepass|passeport|pasaporte|id card|identity card|personalausweis|carte d'identité|licence|license|führerschein|permis de conduire|permiso de conducir|pesel"
-).split("|")
-ID_SHORT = "SSN|NINO|NI number|NI no|PESEL|DNI|NIE|NIF|CPF|BSN|AHV|TIN".split("|")
+ID_WORDS = "security insurance steuer tax sozialversicherung fiscal sécurité passport reisepass passeport pasaporte card personalausweis identité licence license führerschein permis pesel".split()
+ID_SHORT = "SSN NINO NI PESEL DNI NIE NIF CPF BSN AHV TIN".split()
 ID_LABELS = (
     r"(?:SSN|ssn|NINO|NI (?:number|no\.?)|DNI|NIE|NIF|CPF|BSN|AHV(?:-Nr\.?)?|I?TIN)|(?i:pesel|social security(?: (?:number|no\.?|nr\.?|#))?|national insurance(?: (?:number|no\.?))?"
-    r"|steuer-?id(?:entifikationsnummer)?|steuernummer|tax (?:id|number|no\.?)|sozialversicherungsnummer|numéro fiscal|(?:numéro|n°) de sécurité sociale"
+    r"|steuer-?\s?id(?:entifikationsnummer)?|steuernummer|tax (?:id|number|no\.?)|sozialversicherungsnummer|numéro fiscal|(?:numéro|n°) de sécurité sociale"
     r"|passport|reisepass|passeport|pasaporte|id card|identity card|personalausweis|carte d'identité|driving licen[cs]e|driver'?s? licen[cs]e|führerschein|permis de conduire|permiso de conducir)"
-)
+).replace(" ", r"[\s>|]+")
 ID_FORMS = (
     r"\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{2} \d{3} \d{3} \d{3}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"
     r"|[A-Z]{1,3}-\d{3,5}-\d{4,6}|[A-Z]{1,3}\d{3} \d{4}|[A-Z]{1,3}\d{5,9}|\d{9,11}|[A-Z]{5}\d{6}[A-Z0-9]{5}|[A-Z0-9]{9,10}(?<=\d)"
@@ -150,6 +147,12 @@ def streets(text: str) -> Iterator[tuple[int, int]]:
             yield before.start(), UNIT.match(text, end).end()
 
 
+def labelled(text: str) -> bool:
+    """Whether any word of the labels of identity numbers occurs; a cheap test before the search."""
+    low = text.lower()
+    return any(w in low for w in ID_WORDS)
+
+
 def typed_mentions(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of everything that shows by its form; of overlapping ones the first kind wins."""
     found: list[tuple[str, int, int]] = []
@@ -162,7 +165,7 @@ def typed_mentions(text: str) -> list[tuple[str, int, int]]:
 
     for start, end, _ in addresses(text):
         add("email", start, end)
-    if any(w in text for w in ID_SHORT) or any(w in low for low in (text.lower(),) for w in ID_WORDS):
+    if any(w in text for w in ID_SHORT) or labelled(text):
         for m in ID.finditer(text):
             add("id_number", m.start(1), m.end(1))
     for m in ID_BARE.finditer(text):

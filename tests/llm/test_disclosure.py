@@ -12,6 +12,8 @@ def test_forms():
         ("email", "a.b+x@mail.foo-bar.example"), ("email", "c [dot] d [at] foo [dot] org"), ("email", "e(at)f.example")]
     phones = ["+44 1632 960700", "+33 1 99 00 62 13", "01.99.00.05.76", "030/23125-467", "365-555-0171", "(934) 555-0188", "+1 542-555-0149", "+18895550128", "+49 30 23125 326", "893.555.0122", "01632 960 961", "0491 570 157"]
     assert by_form("; ".join(f"call {p} now" for p in phones)) == [("phone", p) for p in phones]
+    assert by_form("contact=a@b.example;tel:389.555.0164;scope=3") == [("email", "a@b.example"), ("phone", "389.555.0164")]
+    assert by_form("issued on social\nsecurity number 947 01 6816 or driving\n> licence QX-6276-13246") == [("id_number", "947 01 6816"), ("id_number", "QX-6276-13246")]
     assert by_form("Range 319-332-338, part 48-447-22, 27417357261 rows on 192.0.2.192:8080 at 2024-10-15 08:29:08, build 5.5.2+26365123456") == []
     ids = {"passport no. ": "ZZ9812677", "driving licence ": "QX-3761-00817", "DNI ": "00008788-G", "Steuer-ID ": "00 789 630 214", "SSN: ": "666312615", "SSN ": "666-80-1409", "NINO: ": "QQ549875C", "NI number ": "QQ 68 69 59 C", "ID card ": "AX144 8769", "PESEL ": "78991346442", "social security number ": "919 02 7723"}
     for label, number in ids.items():
