@@ -78,6 +78,10 @@ CONTACT = re.compile(
 )
 
 
+SENTENCE_DONE = re.compile(r"[.!?*\])]\s*$")
+LONGEST_NOTICE = 12
+
+
 @dataclass
 class Node:
     kind: str
@@ -105,10 +109,12 @@ class _Visible(HTMLParser):
         self.depth = self.hidden = 0
         self.stack: list[str] = []
 
-    def flush(self) -> None:
+    def flush(self, always: bool = False) -> None:
+        """Ends a line; between two blocks there is none where nothing stands."""
         text = "".join(self.text)
         self.text = []
-        self.lines.append((text, self.depth))
+        if always or text.strip(" \t"):
+            self.lines.append((text, self.depth))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.HIDDEN:
@@ -116,13 +122,13 @@ class _Visible(HTMLParser):
         elif tag == "body":
             self.hidden = 0
         if tag == "br" or tag in self.BREAKS:
-            self.flush()
+            self.flush(tag == "br")
         if tag == "blockquote":
             self.depth += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag == "br" or tag in self.BREAKS:
-            self.flush()
+            self.flush(tag == "br")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.HIDDEN:
@@ -204,11 +210,21 @@ class Parser:
                 return line
         return None
 
-    def paragraph(self, at: int) -> list[Line]:
-        """The non-blank lines from ``at`` on at the same depth, up to a blank line, a mark or a signature's rule."""
-        found = []
-        for line in self.lines[at:]:
-            if not line.number or found and (line.depth != found[0].depth or MARK.match(line.text) or RULE.fullmatch(line.text.strip())):
+    def notice(self, at: int, rule: re.Pattern) -> list[Line]:
+        """The lines of a banner or disclaimer that begins here: up to the end of its last sentence."""
+        first = self.lines[at]
+        follower = self.following(at)
+        ahead = f" {follower.text.strip()}" if follower is not None and follower.depth == first.depth else ""
+        whole = first.text.strip() + ahead
+        if not rule.match(whole) or rule is BANNER and not BANNER_SURE.search(whole):
+            return []
+        found = [first]
+        for i in range(at + 1, len(self.lines)):
+            line = self.lines[i]
+            text = line.text.strip()
+            if not line.number or line.depth != first.depth or MARK.match(line.text) or RULE.fullmatch(text) or len(found) >= LONGEST_NOTICE:
+                break
+            if SENTENCE_DONE.search(found[-1].text) and not rule.match(text):
                 break
             found.append(line)
         return found
@@ -307,24 +323,16 @@ class Parser:
             return self.reply(node, True)
         if self.forward(at):
             return self.forwarded()
-        paragraph = self.paragraph(at)
-        text = " ".join(x.text.strip() for x in paragraph)
-        fresh = at == 0 or not self.lines[at - 1].number or self.lines[at - 1].depth != line.depth or self.kind_before != "authored"
-        if BANNER.match(text) and BANNER_SURE.search(text) and len(text) < 300:
-            return self.take("banner", paragraph)
-        if (fresh or self.markup) and DISCLAIMER.match(text) and len(text) < 1500:
-            return self.take("disclaimer", paragraph)
+        if lines := self.notice(at, BANNER):
+            return self.take("banner", lines)
+        if lines := self.notice(at, DISCLAIMER):
+            return self.take("disclaimer", lines)
         if self.signature(at):
             return self.sign()
-        self.kind_before = "authored"
         return None
 
-    kind_before = ""
-    markup = False
-
     def take(self, kind: str, lines: list[Line]) -> Node:
         self.at += len(lines)
-        self.kind_before = kind
         return Node(kind, [x.number for x in lines])
 
     def reply(self, node: Node, attributed: bool) -> Node:
@@ -352,7 +360,6 @@ class Parser:
                 break
             self.at += 1
         node.parts.append(Parser(inner, set()).parse())
-        self.kind_before = "reply"
         return node
 
     def forwarded(self) -> Node:
@@ -380,14 +387,10 @@ class Parser:
             if line.number:
                 if node.lines and (self.quoted(self.at) or self.attribution(self.at) or self.forward(self.at)):
                     break
-                if node.lines:
-                    paragraph = self.paragraph(self.at)
-                    text = " ".join(x.text.strip() for x in paragraph)
-                    if DISCLAIMER.match(text) or BANNER.match(text) and BANNER_SURE.search(text):
-                        break
+                if node.lines and (self.notice(self.at, DISCLAIMER) or self.notice(self.at, BANNER)):
+                    break
                 node.lines.append(line.number)
             self.at += 1
-        self.kind_before = "signature"
         return node
 
 
@@ -395,7 +398,6 @@ def layout(text_body: str | None, html_body: str | None, sender: str | None = No
     lines = lines_of(text_body, html_body)
     address = re.search(r"([\w.+-]+)@", sender or "")
     parser = Parser(lines, names_of(sender), address[1].lower() if address else "")
-    parser.markup = not (text_body is not None and text_body.strip())
     return lines, parser.parse()
 
 

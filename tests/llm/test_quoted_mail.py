@@ -48,3 +48,11 @@ def test_table(spark):
     found = {r["export_id"]: [x["line"] for x in r["new_lines"]] for r in M.authored(frame).collect()}
     assert found == {"a": ["new delivery"], "b": [], "c": []}
     assert M.authored(frame.limit(0)).count() == 0
+
+
+def test_notices_over_several_lines():
+    notice = "This message and any attachments are confidential and intended only for\nthe addressee. If you received it in error, delete it and notify the\nsender."
+    html = "".join(f"<div>{line}</div>\n" for line in ["text", "Regards,", "Ada", *notice.split("\n")])
+    assert fresh(None, html) == ["text"]
+    assert fresh(f"text\n\n{notice}\n\nmore text") == ["text", "more text"]
+    assert fresh("CAUTION: This e-mail came from outside the organisation. Do not open\nlinks unless you know the sender.\ntext") == ["text"]
