@@ -115,8 +115,7 @@ def layout(body: str) -> Page:
             before = lines[filled[n - 1]].strip() if n and n not in starts else ""
             if n and i and filled[n - 1] == i - 1 and LABEL.fullmatch(before):
                 continue  # a cell of a table
-            if text.isdigit() or n in starts or n == len(filled) - 1 or n + 1 in starts or not lines[i - 1].strip() or len(text) > 1:
-                page_lines.add(i)
+            page_lines.add(i)
     edge: set[int] = set()
     borders = sorted(starts) + [len(filled)]
     for a, b in zip(borders, borders[1:], strict=False):
