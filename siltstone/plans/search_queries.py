@@ -60,7 +60,7 @@ SELECT id, round(CAST(sum(1.0 * nt + 0.4 * ns) AS DOUBLE), 6) AS score FROM t GR
 )
 def title_body_weighted(spark, d):
     """Weighted term counts: titles weigh 1.0, bodies 0.4."""
-    e = latest(table(spark, d, "episodes"), "id", "updated_at")
+    e = latest(table(spark, d, "episodes").select("id", "title", "summary", "updated_at"), "id", "updated_at")
     terms = F.array(*[F.lit(t) for t in ("watcher", "queue", "policy")])
     hits = lambda c: F.size(F.filter(X.ascii_tokens(F.coalesce(c, F.lit(""))), lambda t: F.array_contains(terms, t)))
     counted = e.select("id", hits("title").alias("nt"), hits("summary").alias("ns")).where("nt + ns > 0")
@@ -184,13 +184,13 @@ def filter_reasons(spark, d):
 @query("SELECT DISTINCT id FROM (SELECT id, arg_max(extraction_status, updated_at) AS st, arg_max(coalesce(CAST(deleted_at AS VARCHAR), ''), updated_at) AS dl, arg_max(coalesce(canonical_asset_id, ''), updated_at) AS ca, arg_max(file_kind, updated_at) AS fk FROM source_assets GROUP BY id) WHERE st = 'indexed' AND dl = '' AND ca = '' AND fk IN ('text', 'document')")
 def index_filter(spark, d):
     """Active, canonical and not deleted assets of some kinds."""
-    a = latest(table(spark, d, "source_assets"), "id", "updated_at")
+    a = latest(table(spark, d, "source_assets").select("id", "extraction_status", "deleted_at", "canonical_asset_id", "file_kind", "updated_at"), "id", "updated_at")
     return a.where("extraction_status = 'indexed' and deleted_at is null and canonical_asset_id is null and file_kind in ('text', 'document')").select("id")
 
 
 @query("SELECT id FROM (SELECT id, arg_max(coalesce(superseded_by, ''), updated_at) AS s FROM episodes GROUP BY id) WHERE s = ''")
 def current_only(spark, d):
-    return latest(table(spark, d, "episodes"), "id", "updated_at").where("superseded_by is null").select("id")
+    return latest(table(spark, d, "episodes").select("id", "superseded_by", "updated_at"), "id", "updated_at").where("superseded_by is null").select("id")
 
 
 @query(
@@ -321,7 +321,7 @@ SELECT family, id, suppressed FROM r WHERE n = 1
 """
 )
 def version_collapse(spark, d):
-    e = latest(table(spark, d, "episodes"), "id", "updated_at")
+    e = latest(table(spark, d, "episodes").select("id", "title", "usage_count", "confidence", "updated_at"), "id", "updated_at")
     return S.collapse_versions(e, P.family_key("title"), "id", "usage_count", "confidence", "title").select("family", "id", "suppressed")
 
 
@@ -395,7 +395,8 @@ LEFT JOIN (SELECT id, any_value(size_bytes) AS size_bytes, any_value(quick_hash)
 )
 def manifest_skip(spark, d):
     """A scan against the manifest of the last one: unchanged files with a known hash are skipped."""
-    scan = latest(table(spark, d, "source_assets"), "id", "updated_at").select("id", "size_bytes", "mtime_ns", "quick_hash", "content_hash")
+    columns = ["id", "size_bytes", "mtime_ns", "quick_hash", "content_hash"]
+    scan = latest(table(spark, d, "source_assets").select(*columns, "updated_at"), "id", "updated_at").select(*columns)
     manifest = scan.where("mtime_ns % 3 <> 0").select(F.col("id").alias("mid"), F.col("size_bytes").alias("ms"), F.col("quick_hash").alias("mq"), F.col("content_hash").alias("mc"))
     same = F.col("mid").isNotNull() & (F.col("ms") == F.col("size_bytes")) & (F.col("mq") == F.col("quick_hash")) & (F.coalesce("mc", F.lit("")) != "")
     return scan.join(manifest, scan.id == manifest.mid, "left").select("id", F.when(same, "unchanged").otherwise("changed").alias("action"))
