@@ -34,6 +34,7 @@ ENDS = re.compile(r"[.!?。！？:][\"')\]]*\s*$")
 ITEMS = re.compile(r"\s*[;,|·•/>»\t]\s*|\s+(?=#)|\s+[-–—*]\s+")
 PRICE = re.compile(r"(?<![\d.])\d{1,5}[.,]\d{2}(?![\d.,])|[$€£¥]\s?\d|\d\s?[$€£]")
 TAG = re.compile(r"\bsku\b|\bin stock\b|\bsale\b|\bbundle\b|\boffer\b|\bprice\b|\bauf lager\b|\bangebot\b|\bpromo\b|\boferta\b|\bdiscount\b|[$€£¥]", re.I)
+WIDE = re.compile(r"\s{2,}")
 LOG = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d|\|\s|\{|\[\d|<\d|```|#{1,6} )")
 
 
@@ -41,7 +42,7 @@ def segments(text: str) -> list[str]:
     """Lines, and the sentences of lines that hold several."""
     found = []
     for line in text.splitlines():
-        line = line.strip()
+        line = WIDE.sub(" ", line.strip())
         if line:
             found += [s for s in SENTENCE_END.split(line) if s and s.strip()] if len(line) > 40 else [line]
     return found
