@@ -42,7 +42,7 @@ WORD = re.compile(rf"{LETTER}+(?:[-‐¬\xad][ ]?\n{LETTER}+)?")
 
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 _LOCAL = rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*"
-AT = re.compile(r"@|\s?[\[({]\s?(?:at|@)\s?[\])}]\s?", re.I)
+AT = re.compile(r"[@\[({<](?:(?<=@)(?!\s)|(?<!@)\s?(?:at|@)\s?[\])}>]\s?)", re.I)
 LOCAL_END = re.compile(rf"(?<![\w%+.@/-])({_LOCAL})$", re.I)
 DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}[A-Za-z]{{2,24}}(?![\w@-])", re.I)
 
@@ -107,7 +107,9 @@ PERSON = re.compile(
     rf"|{_T}{GAP}(?:(?i:{PARTICLES}){GAP})?{_F}"
     rf"|{_F}(?:,{GAP}?|{GAP}){_FIRST}(?:{GAP}{_I})?"
 )
-DISPLAY = re.compile(rf"({LETTER}{{2,}}), ({LETTER}{{2,}})\"?,? <[^<>\s]+@|({LETTER}{{2,}}) ({LETTER}{{2,}})\"? <[^<>\s]+@")
+ANGLE = re.compile(r"<[^<>\s]{1,200}@")
+DISPLAY = re.compile(rf"(?:(?<!{LETTER})({LETTER}{{2,}}), ({LETTER}{{2,}})\"?,? |(?<!{LETTER})({LETTER}{{2,}}) ({LETTER}{{2,}})\"? )$")
+NAME_SPAN = 60
 SNIPPET = 24
 JOIN = 40
 
@@ -115,7 +117,10 @@ JOIN = 40
 def addresses(text: str) -> Iterator[tuple[int, int, str]]:
     """Span and local part of each mail address, plain or disguised."""
     for at in AT.finditer(text):
-        local = LOCAL_END.search(text, max(0, at.start() - 100), at.start())
+        stop = at.start()
+        if text[stop] != "@" and stop and text[stop - 1] in " \n\t\xa0":
+            stop -= 1
+        local = LOCAL_END.search(text, max(0, stop - 100), stop)
         domain = local and DOMAIN.match(text, at.end())
         if domain:
             yield local.start(1), domain.end(), local[1]
@@ -222,7 +227,10 @@ def term_counts(texts: DataFrame) -> DataFrame:
                         if len(parts) == 2 and all(p.isalpha() and len(p) > 1 for p in parts):
                             pairs[parts[0], parts[1]] += 1
                             words.subtract(parts)
-                    for m in DISPLAY.finditer(text):
+                    for angle in ANGLE.finditer(text):
+                        m = DISPLAY.search(text, max(0, angle.start() - NAME_SPAN), angle.start())
+                        if m is None:
+                            continue
                         given, family = (m[2], m[1]) if m[1] else (m[3], m[4])
                         if len(given) > 1 and len(family) > 1:
                             pairs[given.lower(), family.lower()] += 1
