@@ -32,6 +32,9 @@ WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])")
 ENDS = re.compile(r"[.!?。！？:][\"')\]]*\s*$")
 ITEMS = re.compile(r"\s*[;,|·•/>»\t]\s*|\s+(?=#)|\s+[-–—*]\s+")
+#: What stands between items; fewer than four of them make no list of five.
+SEPARATORS = (*";,|·•/>»\t#", " - ", " – ", " — ", " * ")
+LABELLED = re.compile(r"\s*[^\W\d_]+\s*:")
 PRICE = re.compile(r"(?<![\d.])\d{1,5}[.,]\d{2}(?![\d.,])|[$€£¥]\s?\d|\d\s?[$€£]")
 TAG = re.compile(r"\bsku\b|\bin stock\b|\bsale\b|\bbundle\b|\boffer\b|\bprice\b|\bauf lager\b|\bangebot\b|\bpromo\b|\boferta\b|\bdiscount\b|[$€£¥]", re.I)
 WIDE = re.compile(r"\s{2,}")
@@ -48,32 +51,36 @@ def segments(text: str) -> list[str]:
     return found
 
 
-def shape(segment: str) -> tuple[str, str] | None:
-    """Kind and shape of a segment that is no sentence, else None."""
-    links = len(URL.findall(segment))
-    rest = WORD.findall(URL.sub(" ", segment)) if links else WORD.findall(segment)
-    count = len(rest)
-    capitals = sum(w[0].isupper() for w in rest)
-    written = "C" if capitals > count / 2 else "l"
-    if links:
-        if count <= WORDS_PER_LINK * links:
-            return "link", f"{min(links, 3)}:{min(count, 6)}"
-        return None
+def shape(segment: str, words: list[str] | None = None) -> tuple[str, str] | None:
+    """Kind and shape of a segment that is no sentence, else None; ``words`` are the segment's own if it has no link."""
+    if "://" in segment or "www." in segment.lower():
+        links = len(URL.findall(segment))
+        if links:
+            count = len(WORD.findall(URL.sub(" ", segment)))
+            return ("link", f"{min(links, 3)}:{min(count, 6)}") if count <= WORDS_PER_LINK * links else None
     if LOG.match(segment):
         return None
+    words = WORD.findall(segment) if words is None else words
+    count = len(words)
     if count <= 12 and PRICE.search(segment) and TAG.search(segment):
-        return "offer", f"{min(count, 12)}{written}"
+        return "offer", f"{min(count, 12)}{written(words)}"
     if count >= 4 and segment.count("#") >= 3 and segment.count("#") >= count / 2:
         return "list", "#"
-    body = segment.partition(":")[2] if re.match(r"\s*[^\W\d_]+\s*:", segment) else segment
+    if sum(map(segment.count, SEPARATORS)) < 4:
+        return None
+    body = segment.partition(":")[2] if LABELLED.match(segment) else segment
     items = [i for i in ITEMS.split(body.strip(" .;,")) if i]
     if len(items) >= 5 and not any(c.isdigit() for c in segment):
         sizes = sorted(len(i.split()) for i in items)
         if sizes[len(sizes) // 2] <= 3 and sizes[-1] <= 5:
-            return "list", f"{min(len(items), 20) // 5}{written}"
+            return "list", f"{min(len(items), 20) // 5}{written(words)}"
     return None
 
 
+def written(words: list[str]) -> str:
+    return "C" if sum(w[0].isupper() for w in words) > len(words) / 2 else "l"
+
+
 def repeated(words: list[str], near: int = NEAR) -> list[bool]:
     """Marks the words of phrases (two words, or one of five letters) that come back within ``near`` words."""
     marked = [False] * len(words)
@@ -104,15 +111,16 @@ def spam_share(text: str) -> float:
         return 0.0
     shapes: Counter = Counter()
     prose: list[str] = []
+    lowered: list[list[str]] = []
     for part in parts:
-        found = shape(part)
-        if found is None:
-            if not LOG.match(part):
-                prose.append(part)
-        else:
+        words = WORD.findall(part)
+        found = shape(part, words)
+        if found is not None:
             shapes[found] += len(part)
+        elif not LOG.match(part):
+            prose.append(part)
+            lowered.append([w.lower() for w in words])
     if prose:
-        lowered = [[w.lower() for w in WORD.findall(p)] for p in prose]
         stuffed = [0.0] * len(prose)
         # keyword fragments: short segments that share their words with most of the others
         short = [i for i, w in enumerate(lowered) if 1 < len(w) <= 6]
