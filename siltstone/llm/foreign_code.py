@@ -3,9 +3,9 @@
 A file becomes the set of its shingles of five tokens, with identifiers and numbers masked and
 the words of comments kept: copies of a library agree even where names were changed, while the
 skeleton that all files of a language share stays far below the threshold. Files with equal
-sets are one representative. Representatives are bucketed by MinHash bands; in each bucket the
-members are compared with the bucket's leader only, and a pair counts when the sets agree to
-0.8. What a cluster shows is then told by its members: banners of tools within a repository
+sets are one representative. Representatives are bucketed by MinHash bands and compared with
+the bucket's leader; what the leaders leave apart is joined exactly over the rarest shingles of
+each set. A pair counts when the sets agree to 0.8, and a cluster is a component of such pairs. What a cluster shows is then told by its members: banners of tools within a repository
 indicate generation, upstream notices in copies over several repositories indicate vendoring,
 and files that consist of literals or of one repeated line are data. A file is also judged by
 itself, as not every generated file has a relative.
@@ -23,11 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.similarity import connected_components
 from siltstone.session import cut_lineage
 from siltstone.tables import latest, table
 
 SHINGLE = 5
-SIMILARITY = 0.8
+SIMILAR_PERCENT = 80
+SIMILARITY = SIMILAR_PERCENT / 100
+#: Slots of the table of shingle frequencies; its size does not grow with the corpus.
+SLOTS = 1 << 20
 BANDS, ROWS = 16, 4
 #: Shares of a cluster's files that must carry the mark for the rest to be told by it.
 BANNER_SHARE, UPSTREAM_SHARE = 0.2, 0.2
@@ -214,31 +218,89 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     return code.join(whole, "asset_id", "left")
 
 
+def frequencies(sets: DataFrame) -> bytes:
+    """Bits of the count of the shingles in each of ``SLOTS`` slots; of fixed size, whatever the corpus."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for hashes in batch["hashes"]:
+                np.add.at(seen, np.asarray(hashes, dtype=np.int64) & (SLOTS - 1), 1)
+        at = np.nonzero(seen)[0]
+        yield pd.DataFrame({"slot": at, "n": seen[at]})
+
+    often = sets.select("hashes").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    bits = np.zeros(SLOTS, dtype=np.uint8)
+    bits[often["slot"].to_numpy(dtype=np.int64)] = np.ceil(np.log2(often["n"].to_numpy(dtype=np.float64))).astype(np.uint8)
+    return bits.tobytes()
+
+
+def prefixes(sets: DataFrame, bits: bytes) -> DataFrame:
+    """n, size and one row per shingle among the rarest of each set, so many that sets alike to ``SIMILARITY`` share one."""
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            found = []
+            for hashes in batch["hashes"]:
+                h = np.asarray(hashes, dtype=np.int64)
+                least = -(-len(h) * SIMILAR_PERCENT // 100)  # a set alike to this one shares at least so many
+                found.append(h[np.lexsort((h, rank[h & (SLOTS - 1)]))][: len(h) - least + 1])
+            yield pd.DataFrame({"n": batch["n"], "size": batch["hashes"].map(len), "rare": found})
+
+    made = sets.select("n", "hashes").mapInPandas(cut, "n long, size int, rare array<long>")
+    return made.select("n", "size", F.explode("rare").alias("shingle"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a < b) whose sets agree to ``SIMILARITY``."""
+    left = sets.select(F.col("n").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("n").alias("b"), F.col("hashes").alias("hb"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= SIMILAR_PERCENT * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """n and component of the sets that are alike to ``SIMILARITY`` to another one, over all such pairs.
+
+    The leaders of the MinHash buckets gather near copies first, one comparison per member.
+    What they leave apart is joined exactly: two sets alike share a shingle among the rarest of
+    both, so sets of different components that do are compared, and those of one component need
+    not be. A family that agrees in its boilerplate only shares no rare shingles.
+    """
+    placed = sets.select("n", F.posexplode("bands").alias("band", "bucket"))
+    leader = placed.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("n", "band").alias("h"), "n")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "bucket", F.col("m.n").alias("leader"))
+    led = placed.join(leader, ["band", "bucket"]).where("n <> leader").select(F.least("n", "leader").alias("a"), F.greatest("n", "leader").alias("b")).distinct()
+    near = cut_lineage(verified(led, sets))
+    first = connected_components(near).select(F.col("node").alias("n"), "component")
+    rare = prefixes(sets, frequencies(sets)).join(first, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    several = rare.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    rare = cut_lineage(rare.join(several, "shingle", "left_semi"))
+    one, two = (rare.select("shingle", F.col("n").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"c{n}")) for n in "ab")
+    sized = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * SIMILAR_PERCENT
+    apart = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized).select("a", "b").distinct()
+    more = cut_lineage(verified(apart, sets))
+    if more.isEmpty():
+        return first
+    return connected_components(near.unionByName(more)).select(F.col("node").alias("n"), "component")
+
+
 def clusters(files: DataFrame) -> DataFrame:
-    """set_id and the marks of the verified neighbourhood of each set of shingles.
+    """set_id and the marks of the component of verified links that each set of shingles belongs to.
 
-    Equal sets are counted first, so that a file copied any number of times is one row here. A
-    bucket holds one comparison per member, with the bucket's leader; leaders differ from band
-    to band.
+    Equal sets are counted first, so that a file copied any number of times is one row here.
     """
     marks = [F.count(F.lit(1)).alias("files"), F.sum(F.col("banner").cast("int")).alias("banners"), F.sum((F.col("upstream") | F.col("foreign")).cast("int")).alias("upstreams"), F.collect_set(F.xxhash64("repo")).alias("repos")]
     few = F.slice(F.array_sort(F.col("repos")), 1, 2)  # two suffice to tell one repository from several
     sets = files.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(*marks, F.first("hashes").alias("hashes"), F.first("bands").alias("bands")).withColumn("repos", few)
-    sets = cut_lineage(sets)
-    placed = sets.select("set_id", F.posexplode("bands").alias("band", "bucket"))
-    leader = placed.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("set_id", "band").alias("h"), "set_id")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "bucket", F.col("m.set_id").alias("leader"))
-    pairs = placed.join(leader, ["band", "bucket"]).where("set_id <> leader").select("set_id", "leader").distinct()
-    left = sets.select("set_id", F.col("hashes").alias("a"))
-    right = sets.select(F.col("set_id").alias("leader"), F.col("hashes").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    alike = pairs.join(left, "set_id").join(right, "leader").where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("set_id", "leader")
-    edges = alike.unionByName(sets.select("set_id", F.col("set_id").alias("leader")))
-    edges = cut_lineage(edges)
+    sets = cut_lineage(sets.withColumn("n", F.monotonically_increasing_id()))
     values = ["files", "banners", "upstreams"]
-    gather = lambda frame, key: frame.groupBy(key).agg(*[F.sum(v).alias(v) for v in values], F.array_distinct(F.flatten(F.collect_set("repos"))).alias("repos")).withColumn("repos", F.slice(F.array_sort("repos"), 1, 2))
-    led = gather(edges.join(sets.select("set_id", *values, "repos"), "set_id"), "leader")
-    best = edges.join(led, "leader").groupBy("set_id").agg(F.max(F.col("banners") / F.col("files")).alias("banner_share"), F.max(F.when(F.size("repos") > 1, F.col("upstreams") / F.col("files")).otherwise(0.0)).alias("upstream_share"))
-    return best
+    member = cut_lineage(sets.select("set_id", "n", *values, "repos").join(links(sets), "n", "left").withColumn("component", F.coalesce("component", "n")))
+    repos = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("repos")))), 1, 2)
+    whole = member.groupBy("component").agg(*[F.sum(v).alias(v) for v in values], repos.alias("repos"))
+    shares = whole.select("component", (F.col("banners") / F.col("files")).alias("banner_share"), F.when(F.size("repos") > 1, F.col("upstreams") / F.col("files")).otherwise(0.0).alias("upstream_share"))
+    return member.select("set_id", "component").join(shares, "component").select("set_id", "banner_share", "upstream_share")
 
 
 def foreign_files(files: DataFrame) -> DataFrame:

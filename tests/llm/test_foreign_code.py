@@ -71,3 +71,18 @@ def test_clusters(spark):
 @pytest.mark.parametrize("path", ["a/src/vendors/x.py", "a/app/vendor_rating/x.py", "a/src/distance/x.py", "a/src/generated_report.py", "a/build/x.py", "a/external/notes.py"])
 def test_paths_that_only_sound_foreign(path):
     assert not S.FOREIGN_DIRS.search(path) and not S.TOOL_PATH.search(path) and not S.LOCKS.search(path)
+
+
+def test_copies_are_found_among_half_alike_boilerplate(spark):
+    """A pair of copies whose buckets all have leaders from a family that shares the boilerplate only."""
+    import numpy as np
+
+    rng = np.random.RandomState(2)
+    fresh = lambda k: rng.randint(-(2**62), 2**62, size=k).tolist()
+    boiler = fresh(70)
+    family = [boiler + fresh(30) for _ in range(120)]
+    copied = boiler + fresh(30)
+    sets = [*family, copied, copied[:-6] + fresh(6)]
+    rows = [(f"a{i}", f"r/{i}", False, i == 120, False, False, f"s{i}", sorted(h), [0, 1, 2]) for i, h in enumerate(sets)]
+    found = {r["set_id"]: r["upstream_share"] for r in S.clusters(spark.createDataFrame(rows, S.FILE)).collect()}
+    assert len(found) == 122 and {k for k, v in found.items() if v >= S.UPSTREAM_SHARE} == {"s120", "s121"}
