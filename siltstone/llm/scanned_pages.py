@@ -254,7 +254,7 @@ def scanned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ngram_counts(pages: DataFrame) -> DataFrame:
-    """a, b and n: counts of words (b is empty) and of pairs of neighbours, over all lines."""
+    """a, b and n: counts of words (b is empty) and of pairs of neighbours, over all lines of the distinct bodies; a copied page counts once."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         single: Counter = Counter()
@@ -285,12 +285,13 @@ def ngram_counts(pages: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    counted = pages.select("body").mapInPandas(count, "a string, b string, n long")
+    once = pages.groupBy(F.sha2("body", 256).alias("h")).agg(F.first("body").alias("body"))
+    counted = once.select("body").mapInPandas(count, "a string, b string, n long")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def suspicious(words: DataFrame) -> DataFrame:
-    """word, n, and its candidates (cand, m, how) that are far more frequent."""
+    """word, n, and its candidates (cand, m, how) that are far more frequent; all of them for a word with a foreign character, whose frequency proves nothing."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,12 +300,13 @@ def suspicious(words: DataFrame) -> DataFrame:
 
     made = words.mapInPandas(expand, "word string, n long, cand string, how string")
     known = words.select(F.col("word").alias("cand"), F.col("n").alias("m"))
-    return made.join(known, "cand").where(F.col("m") >= RATIO * F.col("n"))
+    foreign = F.col("word").rlike(f"[{re.escape(''.join(sorted(FOREIGN)))}]")
+    return made.join(known, "cand").where(foreign | (F.col("m") >= RATIO * F.col("n")))
 
 
 def channel(pairs: DataFrame) -> dict[str, float]:
     """Log probability of each confusion, estimated from the words that have one explanation with one confusion; as many entries as the table of confusions."""
-    single = pairs.where(~F.col("how").contains("\t"))
+    single = pairs.where(~F.col("how").contains("\t") & (F.col("m") >= RATIO * F.col("n")))
     sure = single.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("how").alias("how")).where("k = 1")
     seen = {r["how"]: r["n"] for r in sure.groupBy("how").agg(F.sum("n").alias("n")).collect()}
     total = sum(seen.values())

@@ -73,3 +73,16 @@ def test_found_and_repaired(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/asset_chunks.parquet")
     assert S.p1_found(spark, str(tmp_path)).count() == 0
+
+
+def test_misread_words_of_a_copied_page_and_of_rare_words(spark, tmp_path):
+    rng = random.Random(2)
+    when = dt.datetime(2024, 1, 1)
+    rows = [(f"c{i}", f"a{i % 20}", "ocr", "page:1", build(rng, []), when, "x") for i in range(60)]
+    copied = "Nobody could vcrify the remaining policies after the restart."
+    rows += [(f"copy{i}", f"b{i}", "ocr", "page:1", copied, when, "x") for i in range(30)]
+    rare = "The zeppelin rotates at noon."
+    rows += [("r1", "r1", "ocr", "page:1", rare, when, "x"), ("r2", "r2", "ocr", "page:1", rare + " Then the zeppelin stays.", when, "x"), ("r3", "r3", "ocr", "page:1", rare.replace("zeppelin", "zeppe!in"), when, "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/asset_chunks.parquet")
+    found = {r["chunk_id"] for r in S.p1_found(spark, str(tmp_path)).collect() if r["kind"] == "misread"}
+    assert found == {f"copy{i}" for i in range(30)} | {"r3"}
