@@ -7,9 +7,9 @@ are protected terms. For each of them the corpus tells how many bits it disclose
 
     bits(t) = log2( P(t | part of a protected identity) / P(t | word of the texts) ),
 
-and over how many partners it spreads (a role mailbox such as records.desk always pairs the
-same two words, a person's name does not). Terms above both thresholds form the lexicon of
-given and family names; the texts are then searched for sequences of them.
+over texts that each count once, however often they were delivered or copied. A role mailbox
+such as records.desk always pairs the same two words and holds the word of a role. Terms above
+the threshold that are no part of a role mailbox form the lexicon of given and family names; the texts are then searched for sequences of them.
 
 The lexicon may grow with the corpus, so it is never sent around: workers get a Bloom filter of
 fixed size, and what passes it is checked by a join with the lexicon itself.
@@ -31,7 +31,10 @@ from siltstone.session import cut_lineage
 from siltstone.tables import table
 
 MIN_BITS = 2.0
+#: A name with so many partners is no role mailbox, whatever its words.
 MIN_PARTNERS = 2
+#: Words of role mailboxes.
+ROLES = frozenset("abuse accounts admin administrator alerts archive billing board bot booking careers compliance contact customer data deploy desk dev finance front help helpdesk hostmaster hr info inquiries it jobs legal list mail mailbox marketing news newsletter noreply notifications office operations ops orders postmaster press privacy project records registry release reply reports reservations sales security service services support system team tech training updates webmaster".split())
 #: Counters and caches of a worker are emptied at this size; their partial counts are added up later.
 FLUSH = 200_000
 
@@ -202,6 +205,11 @@ def all_texts(spark: SparkSession, folder: str) -> DataFrame:
     return episodes.unionByName(chunks).unionByName(mails).where(F.col("record_id").isNotNull())
 
 
+def once(texts: DataFrame) -> DataFrame:
+    """Each text once; the same text beside another ``of`` (a sender beside another mail) counts again."""
+    return texts.where(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("h"), F.sha2(F.coalesce("of", F.lit("")), 256).alias("o")).agg(F.first("text").alias("text")).select("text")
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """Corpus counts: role ``w`` (a word of the texts) or ``p`` (given and family part of a protected identity)."""
 
@@ -247,12 +255,13 @@ def lexicon(counts: DataFrame, min_bits: float = MIN_BITS, min_partners: int = M
     totals = {r["role"]: r["total"] for r in counts.groupBy("role").agg(F.sum("n").alias("total")).collect()}
     total_words, total_pairs = max(1, totals.get("w") or 0), max(1, totals.get("p") or 0)
     pairs = counts.where("role = 'p'")
-    given = pairs.groupBy("term").agg(F.sum("n").alias("e"), F.count(F.lit(1)).alias("partners")).withColumn("role", F.lit("given"))
-    family = pairs.groupBy(F.col("partner").alias("term")).agg(F.sum("n").alias("e"), F.count(F.lit(1)).alias("partners")).withColumn("role", F.lit("family"))
+    role = F.col("term").isin(*ROLES) | F.col("partner").isin(*ROLES)
+    given = pairs.groupBy("term").agg(F.sum("n").alias("e"), F.count(F.lit(1)).alias("partners"), F.max(role).alias("mailbox")).withColumn("role", F.lit("given"))
+    family = pairs.groupBy(F.col("partner").alias("term")).agg(F.sum("n").alias("e"), F.count(F.lit(1)).alias("partners"), F.max(role).alias("mailbox")).withColumn("role", F.lit("family"))
     words = counts.where("role = 'w'").select("term", F.col("n").alias("seen"))
     bits = F.log2(((F.col("e") + 0.5) / total_pairs) / ((F.greatest(F.coalesce("seen", F.lit(0)), F.lit(0)) + 0.5) / total_words))
     scored = given.unionByName(family).join(words, "term", "left").withColumn("bits", bits)
-    kept = scored.where((F.col("bits") >= min_bits) & (F.col("partners") >= min_partners))
+    kept = scored.where((F.col("bits") >= min_bits) & ((F.col("partners") >= min_partners) | ~F.col("mailbox")))
     return kept.groupBy("term").agg(F.max(F.col("role") == "given").alias("given"), F.max(F.col("role") == "family").alias("family"), F.max("bits").alias("bits"))
 
 
@@ -342,8 +351,8 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 def personal_mentions(spark: SparkSession, folder: str) -> DataFrame:
     texts = all_texts(spark, folder)
-    senders = table(spark, folder, "parsed_email").select(F.col("sender").alias("text"))
-    counts = cut_lineage(term_counts(texts.select("text").unionByName(senders)))
+    senders = table(spark, folder, "parsed_email").select(F.col("sender").alias("text"), F.col("text_body").alias("of"))
+    counts = cut_lineage(term_counts(once(texts.select("text", F.lit("").alias("of")).unionByName(senders))))
     return mentions(texts, cut_lineage(lexicon(counts)))
 
 

@@ -52,3 +52,17 @@ def test_on_tables(spark, sf):
     assert len(rows) == len(set(map(tuple, rows))) and {r["kind"] for r in rows} == {"email", "phone", "id_number", "address", "person"}
     hidden = [r["text"] for r in D.p4_text(spark, sf).collect() if r["text"]]
     assert not any("@" in t and D.typed_mentions(t) and D.typed_mentions(t)[0][0] == "email" for t in hidden)
+
+
+def test_names_of_copied_texts_and_with_one_partner(spark, tmp_path):
+    plain = " the crawler rotates archived ranks and readers inspect the calendar rows at noon"
+    people = [("ada", "moreaux"), ("ada", "lindgard"), ("bo", "moreaux"), ("bo", "lindgard"), ("ilse", "quandt")]
+    texts = [f"{g}.{f}@y.example asked{plain} note {i}" for i, (g, f) in enumerate(people * 4)]
+    texts += [f"records.desk@y.example replied, the desk keeps records {i}" for i in range(8)]
+    copied = f"Bo Lindgard noted{plain}"
+    chunks = [(f"c{i}", t, "1") for i, t in enumerate([*texts, *[copied] * 200, "Then Ilse Quandt left the records desk."])]
+    spark.createDataFrame(chunks, "id string, body string, updated_at string").write.parquet(f"{tmp_path}/asset_chunks.parquet")
+    spark.createDataFrame([], "id string, summary string, updated_at string").write.parquet(f"{tmp_path}/episodes.parquet")
+    spark.createDataFrame([], "export_id string, text_body string, sender string, exported_at_epoch long").write.parquet(f"{tmp_path}/parsed_email.parquet")
+    found = {(r["record_id"], r["start_at"]) for r in D.p4_found(spark, str(tmp_path)).collect() if r["kind"] == "person"}
+    assert found == {(f"c{i}", 0) for i in range(28, 228)} | {("c228", 5)}
