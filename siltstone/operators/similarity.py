@@ -27,17 +27,52 @@ def exact_duplicates(frame: DataFrame, key: str, content: str) -> DataFrame:
 TILE = 512
 
 
+def representatives(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:
+    """key and rep of each vector that has a length: rep is the least key of the equal vectors of its block."""
+    unit = unit_rows(vectors, key, vector, block)
+    reps = unit.groupBy(block, "_v").agg(F.min(key).alias("rep"))
+    return unit.join(reps, [block, "_v"]).select(F.col(key).alias("key"), "rep").distinct()
+
+
+def unit_rows(vectors: DataFrame, key: str, vector: str, block: str) -> DataFrame:
+    return vectors.where(V.norm(vector) > 0).select(block, key, F.transform(F.col(vector), lambda x: x.cast("double")).alias("_v"))
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:
     """a, b and similarity of all pairs of one block with cosine at or above the threshold, a < b.
 
-    Exact. Equal vectors are one representative first (the least key of each); the rest of a
+    Exact. Pairs of representatives are found first and handed to all their copies; the pairs of
+    equal vectors come with them, so many copies give many rows. Vectors that are null or
+    without length pair with nothing.
+    """
+    pairs = representative_pairs(vectors, threshold, key, vector, block)
+    members = cut_lineage(representatives(vectors, key, vector, block))
+    one, two = (members.select(F.col("key").alias(f"k{n}"), F.col("rep").alias(f"r{n}")) for n in "ab")
+    spread = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb")).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    if threshold > 1:
+        return spread
+    equal = one.join(two, F.col("ra") == F.col("rb")).where("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(1.0).alias("similarity"))
+    return spread.unionByName(equal)
+
+
+def cosine_links(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:
+    """a and b of links that join the same vectors as all of ``cosine_pairs``, but only one for each copy."""
+    links = representative_pairs(vectors, threshold, key, vector, block).select("a", "b")
+    if threshold > 1:
+        return links
+    return links.unionByName(representatives(vectors, key, vector, block).where("rep < key").select(F.col("rep").alias("a"), F.col("key").alias("b")))
+
+
+def representative_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: str = "label") -> DataFrame:
+    """a, b and similarity of the pairs of ``cosine_pairs`` among the representatives.
+
+    Equal vectors are one representative (the least key of each); the rest of a
     block is cut into tiles of about ``TILE`` rows, ordered along a fixed direction. Unit vectors
     with cosine >= t differ by at most sqrt(2 - 2t) along any direction, so only tiles whose
     ranges come that close meet, and two tiles meet as one matrix product: pairs below the
-    threshold are never rows. Vectors that are null or without length pair with nothing.
+    threshold are never rows.
     """
-    unit = vectors.where(V.norm(vector) > 0).select(block, key, F.transform(F.col(vector), lambda x: x.cast("double")).alias("_v"))
-    reps = unit.groupBy(block, "_v").agg(F.min(key).alias("k"))
+    reps = unit_rows(vectors, key, vector, block).groupBy(block, "_v").agg(F.min(key).alias("k"))
     dims = reps.select(F.max(F.size("_v"))).first()[0] or 1
     direction = np.random.RandomState(11).normal(size=dims)
     direction /= np.linalg.norm(direction)

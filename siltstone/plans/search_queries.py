@@ -381,8 +381,7 @@ SELECT u AS node, min(m) AS component FROM w GROUP BY u
 """
 )
 def semantic_clusters(spark, d):
-    pairs = D.cosine_pairs(table(spark, d, "embeddings"), 0.35)
-    return D.connected_components(pairs)
+    return D.connected_components(D.cosine_links(table(spark, d, "embeddings"), 0.35))
 
 
 @query(

@@ -164,3 +164,12 @@ def test_rerank(spark):
     frame = spark.createDataFrame(rows, "query_id int, query string, doc_id int, text string, rank int")
     assert [r["doc_id"] for r in rerank(frame, overlap, batch=2).orderBy("rank").collect()] == [2, 3, 1, 4]
     assert [r["doc_id"] for r in rerank(frame, overlap, deadline_s=-1.0).orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_equal_vectors_keep_all_their_pairs(spark):
+    rows = [(5, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (9, [1.0, 0.0], 0), (3, [0.99, 0.05], 0), (4, [0.0, 1.0], 0), (7, [0.0, 1.0], 0), (8, [1.0, 0.0], 1), (1, [1.0, 0.0], None), (6, [1.0, 0.0], None)]
+    frame = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")
+    found = [(r["a"], r["b"]) for r in D.cosine_pairs(frame, 0.95).collect()]
+    assert sorted(found) == [(2, 3), (2, 5), (2, 9), (3, 5), (3, 9), (4, 7), (5, 9)]
+    parts = {r["node"]: r["component"] for r in D.connected_components(D.cosine_links(frame, 0.95)).collect()}
+    assert parts == {2: 2, 3: 2, 5: 2, 9: 2, 4: 4, 7: 4}
