@@ -159,9 +159,9 @@ def judged(path: str, body: str) -> dict:
     """What a file shows by itself."""
     path = normal_path(path)
     tokens, head, literal, code = masked(path, body)
-    top = "\n".join(head)[:1500]
-    lock = bool(LOCKS.search(path)) or path.lower().endswith((".json", ".lock")) and bool(LOCK_BODY.search(body[:2000]))
-    banner = bool(TOOL_PATH.search(path)) or any(BANNER.match(comment_text(line)) for line in head[:12])
+    top = "\n".join(head)
+    lock = bool(LOCKS.search(path)) or path.lower().endswith((".json", ".lock")) and bool(LOCK_BODY.search(body))
+    banner = bool(TOOL_PATH.search(path)) or any(BANNER.match(comment_text(line)) for line in head)
     upstream = bool(UPSTREAM.search(top)) and not OWN.search(top)
     lines = [x.strip() for x in body.split("\n") if x.strip()]
     longest = max(map(len, lines), default=0)

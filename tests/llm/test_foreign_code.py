@@ -86,3 +86,11 @@ def test_copies_are_found_among_half_alike_boilerplate(spark):
     rows = [(f"a{i}", f"r/{i}", False, i == 120, False, False, f"s{i}", sorted(h), [0, 1, 2]) for i, h in enumerate(sets)]
     found = {r["set_id"]: r["upstream_share"] for r in S.clusters(spark.createDataFrame(rows, S.FILE)).collect()}
     assert len(found) == 122 and {k for k, v in found.items() if v >= S.UPSTREAM_SHARE} == {"s120", "s121"}
+
+
+def test_marks_behind_a_long_head_comment():
+    own = module(random.Random(1))
+    long = "\n".join(f"# remark {i} on the tables that the crawler verifies before the nightly restart of the archive" for i in range(30))
+    assert "banner" in flags("a/src/x.py", f"{long}\n# Code generated by stubmaker. DO NOT EDIT.\n{own}")
+    assert "upstream" in flags("a/src/x.py", f"{long}\n# SPDX-License-Identifier: MIT\n\n{own}")
+    assert "lock" in flags("a/other.json", '{\n "x": "' + "y" * 3000 + '",\n "lockfileVersion": 3\n}')
