@@ -79,7 +79,6 @@ CONTACT = re.compile(
 
 
 SENTENCE_DONE = re.compile(r"[.!?*\])]\s*$")
-LONGEST_NOTICE = 12
 
 
 @dataclass
@@ -187,13 +186,14 @@ def names_of(sender: str | None) -> set[str]:
 
 
 class Parser:
-    """Recursive descent over the lines of one level of quotation."""
+    """Descent over the lines of one level of quotation; what lies a level down waits in ``pending``."""
 
     def __init__(self, lines: list[Line], names: set[str], local: str = ""):
         self.lines = lines
         self.names = names
         self.local = local
         self.at = 0
+        self.pending: list[tuple[Node, list[Line]]] = []
 
     def following(self, at: int, skip: int = 1) -> Line | None:
         """The ``skip``-th non-blank line after ``at``."""
@@ -222,7 +222,7 @@ class Parser:
         for i in range(at + 1, len(self.lines)):
             line = self.lines[i]
             text = line.text.strip()
-            if not line.number or line.depth != first.depth or MARK.match(line.text) or RULE.fullmatch(text) or len(found) >= LONGEST_NOTICE:
+            if not line.number or line.depth != first.depth or MARK.match(line.text) or RULE.fullmatch(text):
                 break
             if SENTENCE_DONE.search(found[-1].text) and not rule.match(text):
                 break
@@ -277,7 +277,7 @@ class Parser:
         if RULE.fullmatch(line):
             follower = self.following(at)
             if follower is not None:
-                return FORWARD.fullmatch(follower.text.strip()) is not None or self.forward(self.lines.index(follower)) and bool(HEADER_FIRST.match(follower.text.strip()))
+                return FORWARD.fullmatch(follower.text.strip()) is not None or bool(HEADER_FIRST.match(follower.text.strip())) and self.forward(self.lines.index(follower))
         return False
 
     def signature(self, at: int) -> bool:
@@ -359,7 +359,7 @@ class Parser:
             else:
                 break
             self.at += 1
-        node.parts.append(Parser(inner, set()).parse())
+        self.pending.append((node, inner))
         return node
 
     def forwarded(self) -> Node:
@@ -376,7 +376,7 @@ class Parser:
             head = False
             rest.append(line)
         self.at = len(self.lines)
-        node.parts.append(Parser(rest, set()).parse())
+        self.pending.append((node, rest))
         return node
 
     def sign(self) -> Node:
@@ -398,7 +398,13 @@ def layout(text_body: str | None, html_body: str | None, sender: str | None = No
     lines = lines_of(text_body, html_body)
     address = re.search(r"([\w.+-]+)@", sender or "")
     parser = Parser(lines, names_of(sender), address[1].lower() if address else "")
-    return lines, parser.parse()
+    mail, pending = parser.parse(), parser.pending
+    while pending:
+        node, inner = pending.pop()
+        below = Parser(inner, set())
+        node.parts.append(below.parse())
+        pending += below.pending
+    return lines, mail
 
 
 def new_lines(text_body: str | None, html_body: str | None, sender: str | None = None) -> list[tuple[int, str]]:

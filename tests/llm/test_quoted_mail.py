@@ -56,3 +56,12 @@ def test_notices_over_several_lines():
     assert fresh(None, html) == ["text"]
     assert fresh(f"text\n\n{notice}\n\nmore text") == ["text", "more text"]
     assert fresh("CAUTION: This e-mail came from outside the organisation. Do not open\nlinks unless you know the sender.\ntext") == ["text"]
+
+
+def test_long_notices_and_deep_quotation():
+    from siltstone.llm.quoted_mail import new_lines
+
+    notice = "This message is confidential and intended for the named reader\n" + "\n".join(f"and for clause {i} of the terms" for i in range(20)) + "\nas agreed."
+    assert [t for _, t in new_lines(f"The crawler is up again.\n\n{notice}", None)] == ["The crawler is up again."]
+    assert [t for _, t in new_lines("Fine with me.\n" + ">" * 2000 + " old words", None)] == ["Fine with me."]
+    assert new_lines("\n".join(["----"] * 2000 + ["Fine with me."]), None)[-1][1] == "Fine with me."
