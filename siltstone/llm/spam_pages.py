@@ -3,7 +3,7 @@
 Every line (and every sentence of a longer line) is reduced to a shape: how many words, how
 they are written, which separators and links stand between them. Shapes that no sentence has
 (link with caption, list of short items, product tag, keyword fragment) are grouped within the
-page, and a page is flagged when few such shapes make up more than half of its length. What
+page, and a page is flagged when such shapes make up more than half of its length. What
 looks like a sentence is taken apart by repetition: keywords that come back within a few words,
 and runs of sentences that all open with the same phrase, count as stuffing too.
 """
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.tables import schema_with, table
 
 SHARE = 0.5
-#: A page is dominated by few shapes: this many of the largest ones are added up.
-FEW = 8
 #: The same phrase within so many words is stuffing, not style.
 NEAR = 8
 OPENING_SHARE, OPENING_LEAST = 0.7, 6
@@ -158,7 +156,7 @@ def spam_share(text: str) -> float:
         for i, s in enumerate(stuffed):
             if s:
                 shapes["stuffed", f"{min(len(lowered[i]), 12) // 4}"] += s * len(prose[i])
-    return sum(n for _, n in shapes.most_common(FEW)) / total
+    return sum(shapes.values()) / total
 
 
 def spam_pages(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,3 +35,10 @@ def test_rows(spark):
     found = sorted((r["doc_id"] or 0, r["share"] > S.SHARE) for r in S.spam_pages(frame).collect())
     assert found == [(0, False), (1, False), (2, False), (3, True), (3, True), (5, True)]
     assert S.spam_pages(frame.limit(0)).count() == 0
+
+
+def test_spam_of_many_shapes():
+    from siltstone.llm.spam_pages import spam_share
+
+    lines = [" ".join(["see", "more", "about", "lamps", "and", "rings"][:k]) + " https://shop.example/x" * n for n in (1, 2, 3) for k in range(1, 7)]
+    assert spam_share("\n".join(lines)) > 0.95
