@@ -4,8 +4,8 @@ Every line (and every sentence of a longer line) is reduced to a shape: how many
 they are written, which separators and links stand between them. Shapes that no sentence has
 (link with caption, list of short items, product tag, keyword fragment) are grouped within the
 page, and a page is flagged when such shapes make up more than half of its length. What
-looks like a sentence is taken apart by repetition: keywords that come back within a few words,
-and runs of sentences that all open with the same phrase, count as stuffing too.
+looks like a sentence is taken apart by repetition: keywords that come back within a few words
+count as stuffing too. Sentences that merely share a subject are statements.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from siltstone.tables import schema_with, table
 SHARE = 0.5
 #: The same phrase within so many words is stuffing, not style.
 NEAR = 8
-OPENING_SHARE, OPENING_LEAST = 0.7, 6
 WORDS_PER_LINK = 8
 
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'|)\]]+", re.I)
@@ -45,7 +44,7 @@ def segments(text: str) -> list[str]:
     for line in text.splitlines():
         line = WIDE.sub(" ", line.strip())
         if line:
-            found += [s for s in SENTENCE_END.split(line) if s and s.strip()] if len(line) > 40 else [line]
+            found += [s for s in SENTENCE_END.split(line) if s and s.strip()]
     return found
 
 
@@ -130,14 +129,6 @@ def spam_share(text: str) -> float:
             for i in short:
                 if single & set(lowered[i]) or common & {*zip(lowered[i], lowered[i][1:], strict=False)}:
                     stuffed[i] = 1.0
-        # sentences that open alike
-        full = [i for i, w in enumerate(lowered) if len(w) >= 5]
-        if len(full) >= OPENING_LEAST:
-            opening, times = Counter(tuple(lowered[i][:2]) for i in full).most_common(1)[0]
-            if times >= max(OPENING_LEAST, OPENING_SHARE * len(full)):
-                for i in full:
-                    if tuple(lowered[i][:2]) == opening:
-                        stuffed[i] = 1.0
         # keywords between the words of a text, and bare runs of keywords
         flat = [w for words in lowered for w in words]
         marked = repeated(flat)

@@ -12,7 +12,6 @@ def test_kinds_of_spam():
         "lamp shop; oil lamp; desk light; lamp shop; oil lamp; desk light; lamp shop",
         "#LampShop #OilLamp #DeskLight #LampShop #OilLamp",
         "lamp shop the lamp shop crawler lamp shop restarted lamp shop lamp shop at lamp shop noon lamp shop",
-        " ".join(f"Lamp shop keeps {w} after the folder was renamed." for w in ("a", "b", "c", "d", "e", "f", "g")),
     ]
     for text in spam:
         assert S.spam_share(text) > S.SHARE, text
@@ -22,6 +21,8 @@ def test_kinds_of_spam():
         "| case | ms |\n| --- | --- |\n" + "\n".join(f"| a-{i} | {i}.50 |" for i in range(20)),
         "\n".join(f"2024-01-01T00:00:0{i}Z INFO crawler root=a n={i}" for i in range(9)),
         PROSE + "Source: https://a.example/x, see also https://b.example/y",
+        # full, differing statements that share their subject
+        " ".join(f"Lamp shop {v} {w}." for v, w in (("keeps", "a longer debounce after the folder was renamed"), ("lacks", "a second reviewer until the queue drained"), ("needs", "one retry because the lease had expired"), ("requires", "a read-only mount while the archive was unpacked"), ("keeps", "a smaller batch since nothing useful returned"), ("needs", "the older ranking before the snapshot had finished"))),
         "", "   ", "ok",
     ]
     for text in plain:
