@@ -5,10 +5,13 @@ the words of comments kept: copies of a library agree even where names were chan
 skeleton that all files of a language share stays far below the threshold. Files with equal
 sets are one representative. Representatives are bucketed by MinHash bands and compared with
 the bucket's leader; what the leaders leave apart is joined exactly over the rarest shingles of
-each set. A pair counts when the sets agree to 0.8, and a cluster is a component of such pairs. What a cluster shows is then told by its members: banners of tools within a repository
-indicate generation, upstream notices in copies over several repositories indicate vendoring,
-and files that consist of literals or of one repeated line are data. A file is also judged by
-itself, as not every generated file has a relative.
+each set. A pair counts when the sets agree to 0.8, and a cluster is a component of such pairs.
+
+Clusters decide by themselves. Copies that the catalogue records as such (canonical_asset_id)
+are the project's own and are set aside; ``RELATIVES`` or more files that still agree did not
+come about by hand: with one text in several repositories they are vendored, with different
+texts a family that a tool wrote, and literal-only ones are data. A smaller cluster follows the
+banners and upstream notices of its members, and a file without relatives is judged by itself.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.search import small
 from siltstone.operators.similarity import connected_components
 from siltstone.session import cut_lineage
 from siltstone.tables import latest, table
@@ -33,6 +37,13 @@ SIMILARITY = SIMILAR_PERCENT / 100
 #: Slots of the table of shingle frequencies; its size does not grow with the corpus.
 SLOTS = 1 << 20
 BANDS, ROWS = 16, 4
+#: So many files that agree, recorded copies aside, are no work by hand; two may be a copy nobody recorded.
+RELATIVES = 3
+#: Bits of a set's sketch, of which two sets alike to s agree in (1 + s) / 2 on average, and the least
+#: agreement at which a pair is compared: six deviations below that of the threshold, so that it
+#: drops a pair alike with a chance below one in a billion.
+SKETCH = 256
+AGREE = int(SKETCH * (1 + SIMILARITY) / 2 - 6 * (SKETCH * (1 + SIMILARITY) / 2 * (1 - SIMILARITY) / 2) ** 0.5)
 #: Shares of a cluster's files that must carry the mark for the rest to be told by it.
 BANNER_SHARE, UPSTREAM_SHARE = 0.2, 0.2
 LITERAL_SHARE = 0.7
@@ -137,17 +148,31 @@ def shingles(tokens: list[str]) -> np.ndarray:
 _RNG = np.random.RandomState(20240501)
 _MULTIPLY = _RNG.randint(1, 2**63 - 1, size=BANDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _ADD = _RNG.randint(0, 2**63 - 1, size=BANDS * ROWS, dtype=np.int64).astype(np.uint64)
+_SKETCH_MULTIPLY = _RNG.randint(1, 2**63 - 1, size=SKETCH, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_SKETCH_ADD = _RNG.randint(0, 2**63 - 1, size=SKETCH, dtype=np.int64).astype(np.uint64)
+
+
+def least_of(hashes: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The minimum of the set under each linear map."""
+    least = np.full(len(multiply), ~np.uint64(0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 1024):
+            least = np.minimum(least, ((hashes[None, i : i + 1024] * multiply[:, None] + add[:, None]) >> np.uint64(8)).min(axis=1))
+    return least
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of ``SKETCH`` minima, as 64-bit integers."""
+    if not len(hashes):
+        return np.zeros(SKETCH // 64, dtype=np.int64)
+    return np.packbits((least_of(hashes, _SKETCH_MULTIPLY, _SKETCH_ADD) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
     """One bucket id per band, from minima under random linear maps."""
     if not len(hashes):
         return []
-    least = np.empty(BANDS * ROWS, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(hashes), 4096):
-            part = ((hashes[None, i : i + 4096] * _MULTIPLY[:, None] + _ADD[:, None]) >> np.uint64(8)).min(axis=1)
-            least = part if i == 0 else np.minimum(least, part)
+    least = least_of(hashes, _MULTIPLY, _ADD)
     return [int.from_bytes(hashlib.blake2b(least[b * ROWS : (b + 1) * ROWS].tobytes() + bytes([b]), digest_size=8).digest(), "little", signed=True) for b in range(BANDS)]
 
 
@@ -181,38 +206,42 @@ def judged(path: str, body: str) -> dict:
 
 
 FILE = "asset_id string, repo string, banner boolean, upstream boolean, foreign boolean, alone boolean, set_id string, hashes array<long>, bands array<long>"
+EVIDENCE = f"{FILE}, copied boolean, text_id string"
 
 
 def file_evidence(files: DataFrame) -> DataFrame:
-    """asset_id, repo, the file's own marks, and its shingles with their bands; files without text keep their path's marks."""
+    """asset_id, repo, the file's own marks, its shingles with their bands, and whether it is a recorded copy; files without text keep their path's marks."""
+    copied = F.col("copy_of").isNotNull() if "copy_of" in files.columns else F.lit(False)
+    files = files.select("asset_id", "root_id", "path", "body", copied.alias("copied"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for asset, root, path, body in zip(batch["asset_id"], batch["root_id"], batch["path"], batch["body"], strict=True):
+            for asset, root, path, body, copied in zip(batch["asset_id"], batch["root_id"], batch["path"], batch["body"], batch["copied"], strict=True):
                 at = normal_path(path)
                 seen = judged(at, body or "")
                 hashes = seen["hashes"]
                 foreign = bool(FOREIGN_DIRS.search(at))
                 alone = seen["lock"] or seen["dense"] or seen["data"]
                 set_id = hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest() if len(hashes) else None
-                rows.append((asset, f"{root}/{at.partition('/')[0]}", seen["banner"], seen["upstream"], foreign, alone, set_id, hashes.view(np.int64), bands(hashes)))
-            yield pd.DataFrame(rows, columns=["asset_id", "repo", "banner", "upstream", "foreign", "alone", "set_id", "hashes", "bands"])
+                text_id = hashlib.blake2b((body or "").encode("utf-8", "replace"), digest_size=16).hexdigest()
+                rows.append((asset, f"{root}/{at.partition('/')[0]}", seen["banner"], seen["upstream"], foreign, alone, set_id, hashes.view(np.int64), bands(hashes), copied, text_id))
+            yield pd.DataFrame(rows, columns=["asset_id", "repo", "banner", "upstream", "foreign", "alone", "set_id", "hashes", "bands", "copied", "text_id"])
 
-    return files.mapInPandas(look, FILE)
+    return files.mapInPandas(look, EVIDENCE)
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    """asset_id, root_id, path and whole text (null without chunks) of each code file, as delivered last.
+    """asset_id, root_id, path, copy_of and whole text (null without chunks) of each code file, as delivered last.
 
     Where an asset has no path of its own, that of its symbols stands in.
     """
     assets = table(spark, folder, "source_assets").where((F.col("file_kind") == "code") & F.col("id").isNotNull())
-    code = latest(assets.select(F.col("id").alias("asset_id"), "updated_at", "root_id", "path"), "asset_id", "updated_at").select("asset_id", "root_id", "path")
+    code = latest(assets.select(F.col("id").alias("asset_id"), "updated_at", "root_id", "path", F.col("canonical_asset_id").alias("copy_of")), "asset_id", "updated_at")
     symbols = table(spark, folder, "code_symbols").where(F.col("source_asset_id").isNotNull()).groupBy(F.col("source_asset_id").alias("asset_id")).agg(F.max("path").alias("symbol_path"))
-    code = code.join(symbols, "asset_id", "left").select("asset_id", "root_id", F.coalesce("path", "symbol_path").alias("path"))
+    code = code.join(symbols, "asset_id", "left").select("asset_id", "root_id", F.coalesce("path", "symbol_path").alias("path"), "copy_of")
     chunks = table(spark, folder, "asset_chunks").where(F.col("asset_id").isNotNull() & F.col("body").isNotNull()).select("asset_id", "chunk_index", "updated_at", "body")
-    own = chunks.join(code.select("asset_id"), "asset_id", "left_semi")
+    own = chunks.join(small(assets.select(F.col("id").alias("asset_id")).distinct()), "asset_id", "left_semi")
     once = latest(own, ["asset_id", "chunk_index"], "updated_at")
     whole = once.groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "body"))), lambda x: x["body"]), "").alias("body"))
     return code.join(whole, "asset_id", "left")
@@ -227,16 +256,16 @@ def frequencies(sets: DataFrame) -> bytes:
             for hashes in batch["hashes"]:
                 np.add.at(seen, np.asarray(hashes, dtype=np.int64) & (SLOTS - 1), 1)
         at = np.nonzero(seen)[0]
-        yield pd.DataFrame({"slot": at, "n": seen[at]})
+        yield pd.DataFrame({"slot": at.astype(np.int32), "n": seen[at]})
 
-    often = sets.select("hashes").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    often = sets.select("hashes").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot", F.ceil(F.log2("n")).cast("byte").alias("bits")).toPandas()
     bits = np.zeros(SLOTS, dtype=np.uint8)
-    bits[often["slot"].to_numpy(dtype=np.int64)] = np.ceil(np.log2(often["n"].to_numpy(dtype=np.float64))).astype(np.uint8)
+    bits[often["slot"].to_numpy()] = often["bits"].to_numpy()
     return bits.tobytes()
 
 
 def prefixes(sets: DataFrame, bits: bytes) -> DataFrame:
-    """n, size and one row per shingle among the rarest of each set, so many that sets alike to ``SIMILARITY`` share one."""
+    """n, size and one row per shingle, with its place, among the rarest of each set, so many that sets alike to ``SIMILARITY`` share one."""
     shared = sets.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +279,25 @@ def prefixes(sets: DataFrame, bits: bytes) -> DataFrame:
             yield pd.DataFrame({"n": batch["n"], "size": batch["hashes"].map(len), "rare": found})
 
     made = sets.select("n", "hashes").mapInPandas(cut, "n long, size int, rare array<long>")
-    return made.select("n", "size", F.explode("rare").alias("shingle"))
+    return made.select("n", "size", F.posexplode("rare").alias("place", "shingle"))
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """n and sketch of every set."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"n": batch["n"], "sketch": [sketch(np.asarray(h, dtype=np.int64).view(np.uint64)) for h in batch["hashes"]]})
+
+    return sets.select("n", "hashes").mapInPandas(draw, "n long, sketch array<long>")
+
+
+def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in ``AGREE`` bits; only the few left are worth the transport of their sets."""
+    left = sketches.select(F.col("n").alias("a"), F.col("sketch").alias("ka"))
+    right = sketches.select(F.col("n").alias("b"), F.col("sketch").alias("kb"))
+    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").where(apart <= SKETCH - AGREE).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,40 +314,57 @@ def links(sets: DataFrame) -> DataFrame:
     The leaders of the MinHash buckets gather near copies first, one comparison per member.
     What they leave apart is joined exactly: two sets alike share a shingle among the rarest of
     both, so sets of different components that do are compared, and those of one component need
-    not be. A family that agrees in its boilerplate only shares no rare shingles.
+    not be. The last of the rare shingles they share bounds what they can have in common; pairs
+    below the threshold by that bound, or by their sketches, are not compared.
     """
+    sketches = cut_lineage(sketched(sets))
     placed = sets.select("n", F.posexplode("bands").alias("band", "bucket"))
     leader = placed.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("n", "band").alias("h"), "n")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "bucket", F.col("m.n").alias("leader"))
     led = placed.join(leader, ["band", "bucket"]).where("n <> leader").select(F.least("n", "leader").alias("a"), F.greatest("n", "leader").alias("b")).distinct()
-    near = cut_lineage(verified(led, sets))
+    near = cut_lineage(verified(promising(led, sketches), sets))
     first = connected_components(near).select(F.col("node").alias("n"), "component")
-    rare = prefixes(sets, frequencies(sets)).join(first, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    rare = cut_lineage(prefixes(sets, frequencies(sets)).join(first, "n", "left").withColumn("component", F.coalesce("component", "n")))
     several = rare.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
-    rare = cut_lineage(rare.join(several, "shingle", "left_semi"))
-    one, two = (rare.select("shingle", F.col("n").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"c{n}")) for n in "ab")
+    rare = rare.join(several, "shingle", "left_semi")
+    one, two = (rare.select("shingle", F.col("n").alias(n), F.col("size").alias(f"s{n}"), F.col("place").alias(f"p{n}"), F.col("component").alias(f"c{n}")) for n in "ab")
     sized = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * SIMILAR_PERCENT
-    apart = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized).select("a", "b").distinct()
-    more = cut_lineage(verified(apart, sets))
+    met = one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized)
+    met = met.groupBy("a", "b").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.count(F.lit(1)).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    most = F.col("k") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) - 1
+    apart = met.where(most * (100 + SIMILAR_PERCENT) >= SIMILAR_PERCENT * (F.col("sa") + F.col("sb"))).select("a", "b")
+    more = cut_lineage(verified(promising(apart, sketches), sets))
     if more.isEmpty():
         return first
     return connected_components(near.unionByName(more)).select(F.col("node").alias("n"), "component")
 
 
 def clusters(files: DataFrame) -> DataFrame:
-    """set_id and the marks of the component of verified links that each set of shingles belongs to.
+    """set_id, what its component of verified links shows (family, spread, blob) and the shares of its files' marks.
 
     Equal sets are counted first, so that a file copied any number of times is one row here.
     """
-    marks = [F.count(F.lit(1)).alias("files"), F.sum(F.col("banner").cast("int")).alias("banners"), F.sum((F.col("upstream") | F.col("foreign")).cast("int")).alias("upstreams"), F.collect_set(F.xxhash64("repo")).alias("repos")]
-    few = F.slice(F.array_sort(F.col("repos")), 1, 2)  # two suffice to tell one repository from several
-    sets = files.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(*marks, F.first("hashes").alias("hashes"), F.first("bands").alias("bands")).withColumn("repos", few)
+    own = ~F.col("copied") if "copied" in files.columns else F.lit(True)
+    text = F.col("text_id") if "text_id" in files.columns else F.lit(None).cast("string")
+    n = F.count(F.lit(1))
+    sums = {"files": n, "banners": F.count_if("banner"), "upstreams": F.count_if(F.col("upstream") | F.col("foreign")), "literals": F.count_if("alone"), "own": F.count_if(own)}
+    # least and greatest suffice to tell one from several
+    bounds = {"text": F.when(own, text), "home": F.when(own, F.col("repo")), "repo": F.col("repo")}
+    ends = [e for k, c in bounds.items() for e in (F.min(c).alias(f"{k}_a"), F.max(c).alias(f"{k}_z"))]
+    sets = files.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(*[c.alias(k) for k, c in sums.items()], *ends, F.first("hashes").alias("hashes"), F.first("bands").alias("bands"))
     sets = cut_lineage(sets.withColumn("n", F.monotonically_increasing_id()))
-    values = ["files", "banners", "upstreams"]
-    member = cut_lineage(sets.select("set_id", "n", *values, "repos").join(links(sets), "n", "left").withColumn("component", F.coalesce("component", "n")))
-    repos = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("repos")))), 1, 2)
-    whole = member.groupBy("component").agg(*[F.sum(v).alias(v) for v in values], repos.alias("repos"))
-    shares = whole.select("component", (F.col("banners") / F.col("files")).alias("banner_share"), F.when(F.size("repos") > 1, F.col("upstreams") / F.col("files")).otherwise(0.0).alias("upstream_share"))
-    return member.select("set_id", "component").join(shares, "component").select("set_id", "banner_share", "upstream_share")
+    values = [*sums, *(f"{k}_{e}" for k in bounds for e in "az")]
+    member = cut_lineage(sets.select("set_id", "n", *values).join(links(sets), "n", "left").withColumn("component", F.coalesce("component", "n")))
+    whole = member.groupBy("component").agg(*[F.sum(v).alias(v) for v in sums], *[e for k in bounds for e in (F.min(f"{k}_a").alias(f"{k}_a"), F.max(f"{k}_z").alias(f"{k}_z"))])
+    related = F.col("own") >= RELATIVES
+    told = whole.select(
+        "component",
+        F.coalesce(related & (F.col("text_a") != F.col("text_z")), F.lit(False)).alias("family"),
+        F.coalesce(related & (F.col("text_a") == F.col("text_z")) & (F.col("home_a") != F.col("home_z")), F.lit(False)).alias("spread"),
+        (related & (F.col("literals") == F.col("files"))).alias("blob"),
+        (F.col("banners") / F.col("files")).alias("banner_share"),
+        F.when(F.col("repo_a") != F.col("repo_z"), F.col("upstreams") / F.col("files")).otherwise(0.0).alias("upstream_share"),
+    )
+    return member.select("set_id", "component").join(told, "component").drop("component")
 
 
 def foreign_files(files: DataFrame) -> DataFrame:
@@ -311,10 +375,10 @@ def foreign_files(files: DataFrame) -> DataFrame:
     """
     seen = cut_lineage(file_evidence(files))
     related = clusters(seen)
-    whole = seen.select("asset_id", "set_id", "banner", "upstream", "foreign", "alone").join(related, "set_id", "left")
-    generated = F.col("banner") | (F.coalesce("banner_share", F.lit(0.0)) >= BANNER_SHARE)
-    vendored = F.col("upstream") | F.col("foreign") | (F.coalesce("upstream_share", F.lit(0.0)) >= UPSTREAM_SHARE)
-    return whole.select("asset_id", generated.alias("generated"), vendored.alias("vendored"), F.col("alone").alias("data")).where("generated or vendored or data").distinct()
+    whole = seen.select("asset_id", "set_id", "banner", "upstream", "foreign", "alone").join(related, "set_id", "left").na.fill(False, ["family", "spread", "blob"])
+    generated = F.col("family") & ~F.col("blob") | F.col("banner") | (F.coalesce("banner_share", F.lit(0.0)) >= BANNER_SHARE)
+    vendored = F.col("spread") | F.col("upstream") | F.col("foreign") | (F.coalesce("upstream_share", F.lit(0.0)) >= UPSTREAM_SHARE)
+    return whole.select("asset_id", generated.alias("generated"), vendored.alias("vendored"), (F.col("blob") | F.col("alone")).alias("data")).where("generated or vendored or data").distinct()
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

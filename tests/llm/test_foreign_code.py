@@ -94,3 +94,53 @@ def test_marks_behind_a_long_head_comment():
     assert "banner" in flags("a/src/x.py", f"{long}\n# Code generated by stubmaker. DO NOT EDIT.\n{own}")
     assert "upstream" in flags("a/src/x.py", f"{long}\n# SPDX-License-Identifier: MIT\n\n{own}")
     assert "lock" in flags("a/other.json", '{\n "x": "' + "y" * 3000 + '",\n "lockfileVersion": 3\n}')
+
+
+def test_clusters_decide_without_marks(spark):
+    """Families, copies over repositories and literal-only clusters are found though no file carries a mark; recorded copies are the project's own."""
+    rng = random.Random(11)
+    rows = [(f"own{i}", "r", f"p{i}/src/m.py", module(rng), None) for i in range(12)]
+    kept = module(rng)
+    rows += [(f"kept{i}", "r", f"p{i}/src/k.py", kept, "kept0" if i else None) for i in range(5)]
+    library = module(rng)
+    rows += [(f"lib{i}", "r", f"p{i}/src/util.py", library, None) for i in range(3)]
+    form = lambda i: "class V:\n" + "".join(f"    self.{rng.choice(WORDS)}{k}{i} = Label({k}); self.x{k}.y = Point({k}, {i})\n" for k in range(7)) + "    return build(self)\n"
+    rows += [(f"form{i}", "r", f"p4/forms/v{i}.py", form(i), None) for i in range(4)]
+    rows += [(f"blob{i}", "r", f"p{i}/src/t.js", f"export default [{', '.join(str(rng.randint(100000, 999999)) for _ in range(40))}];", None) for i in range(3)]
+    rows += [(f"pair{i}", "r", f"p{i}/src/q.py", module(random.Random(77)), None) for i in range(2)]
+    frame = spark.createDataFrame(rows, "asset_id string, root_id string, path string, body string, copy_of string")
+    seen = S.file_evidence(frame)
+    told = {r["asset_id"]: {k for k in ("family", "spread", "blob") if r[k]} for r in seen.join(S.clusters(seen), "set_id").where("not banner and not upstream and not foreign").collect()}
+    assert all("spread" in told[f"lib{i}"] for i in range(3)) and all("family" in told[f"form{i}"] for i in range(4)) and all("blob" in told[f"blob{i}"] for i in range(3))
+    assert not any(v for k, v in told.items() if k.startswith(("own", "kept", "pair")))
+    found = {r["asset_id"] for r in S.foreign_files(frame).collect()}
+    assert found == {*(f"lib{i}" for i in range(3)), *(f"form{i}" for i in range(4)), *(f"blob{i}" for i in range(3))}
+
+
+def test_every_pair_alike_is_linked(spark):
+    """Against brute force: two sets alike to 0.8 always end in one component, and sets of one component are joined by such pairs."""
+    import numpy as np
+
+    rng = np.random.RandomState(4)
+    sets = []
+    for _ in range(25):
+        base = rng.randint(-(2**62), 2**62, size=rng.randint(8, 120)).tolist()
+        for _ in range(rng.randint(1, 8)):
+            gone = rng.randint(0, max(1, len(base) // 4))
+            sets.append(sorted({*base[gone:], *rng.randint(-(2**62), 2**62, size=rng.randint(0, max(1, len(base) // 8))).tolist()}))
+    frame = spark.createDataFrame([(i, h, S.bands(np.array(h, dtype=np.int64).view(np.uint64))) for i, h in enumerate(sets)], "n long, hashes array<long>, bands array<long>")
+    got = {r["n"]: r["component"] for r in S.links(frame).collect()}
+    parent = list(range(len(sets)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len({*sets[i]} & {*sets[j]})
+            if shared * 100 >= S.SIMILAR_PERCENT * (len(sets[i]) + len(sets[j]) - shared):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i: top(i) for i in range(len(sets))}
+    assert {i: got.get(i, i) for i in want} == want and len({*want.values()}) < len(sets) - 30
