@@ -15,6 +15,7 @@ result is a tree; serialising the authored nodes of its top level gives the new
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -190,25 +191,24 @@ class Parser:
 
     def __init__(self, lines: list[Line], names: set[str], local: str = ""):
         self.lines = lines
+        self.filled = [i for i, line in enumerate(lines) if line.number]
         self.names = names
         self.local = local
         self.at = 0
         self.pending: list[tuple[Node, list[Line]]] = []
 
+    def next_at(self, at: int, skip: int = 1) -> int:
+        """The place of the ``skip``-th non-blank line after ``at``, -1 where there is none."""
+        n = bisect_right(self.filled, at) + skip - 1
+        return self.filled[n] if n < len(self.filled) else -1
+
     def following(self, at: int, skip: int = 1) -> Line | None:
-        """The ``skip``-th non-blank line after ``at``."""
-        for line in self.lines[at + 1 :]:
-            if line.number:
-                skip -= 1
-                if not skip:
-                    return line
-        return None
+        place = self.next_at(at, skip)
+        return self.lines[place] if place >= 0 else None
 
     def before(self, at: int) -> Line | None:
-        for line in reversed(self.lines[:at]):
-            if line.number:
-                return line
-        return None
+        n = bisect_left(self.filled, at)
+        return self.lines[self.filled[n - 1]] if n else None
 
     def notice(self, at: int, rule: re.Pattern) -> list[Line]:
         """The lines of a banner or disclaimer that begins here: up to the end of its last sentence."""
@@ -277,7 +277,7 @@ class Parser:
         if RULE.fullmatch(line):
             follower = self.following(at)
             if follower is not None:
-                return FORWARD.fullmatch(follower.text.strip()) is not None or bool(HEADER_FIRST.match(follower.text.strip())) and self.forward(self.lines.index(follower))
+                return FORWARD.fullmatch(follower.text.strip()) is not None or bool(HEADER_FIRST.match(follower.text.strip())) and self.forward(self.next_at(at))
         return False
 
     def signature(self, at: int) -> bool:
@@ -343,7 +343,7 @@ class Parser:
             line = self.lines[self.at]
             if not line.number:
                 ahead = self.following(self.at)
-                if ahead is None or not (self.quoted(self.lines.index(ahead, self.at)) or (attributed or indented) and INDENT.match(ahead.text)):
+                if ahead is None or not (self.quoted(self.next_at(self.at)) or (attributed or indented) and INDENT.match(ahead.text)):
                     break
                 if not (ahead.depth or INDENT.match(ahead.text)) and inner and not indented and MARK.match(ahead.text) is None:
                     break

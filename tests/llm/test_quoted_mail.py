@@ -65,3 +65,13 @@ def test_long_notices_and_deep_quotation():
     assert [t for _, t in new_lines(f"The crawler is up again.\n\n{notice}", None)] == ["The crawler is up again."]
     assert [t for _, t in new_lines("Fine with me.\n" + ">" * 2000 + " old words", None)] == ["Fine with me."]
     assert new_lines("\n".join(["----"] * 2000 + ["Fine with me."]), None)[-1][1] == "Fine with me."
+
+
+def test_long_and_deep_mails_take_time_in_proportion():
+    import time
+
+    begun = time.perf_counter()
+    for line in ("We met at noon and agreed on the plan.", "> older words", "---", "On 2024-01-01 someone", "> a\n\nb\n"):
+        assert isinstance(M.new_lines("\n".join(["Hello."] + [line] * 16_000), None, "A B <a.b@x.example>"), list)
+    assert M.new_lines("mine\n" + ">" * 10_000 + " x", None, None) == [(1, "mine")]
+    assert time.perf_counter() - begun < 30  # minutes where the work grows with the square
