@@ -11,13 +11,20 @@ over texts that each count once, however often they were delivered or copied. A
 such as records.desk always pairs the same two words and holds the word of a role. Terms above
 the threshold that are no part of a role mailbox form the lexicon of given and family names; the texts are then searched for sequences of them.
 
-The lexicon may grow with the corpus, so it is never sent around: workers get a Bloom filter of
-fixed size, and what passes it is checked by a join with the lexicon itself.
+What is found protects little where other words give the same entity away. A term therefore is
+disclosing when the texts that hold it nearly always hold one and the same protected entity near
+it: P(entity | term) and the bits log2(P(entity | term) / P(entity)) are estimated from
+co-occurrence over distinct texts. ``p4_disclosing`` lists such terms, and ``p4_sanitised``
+generalises them besides the mentions; ``p4_text`` replaces the mentions only.
+
+Lexicon and disclosing terms may grow with the corpus, so they are never sent around: workers
+get a Bloom filter of bounded size, and what passes it is checked by a join with the terms.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +40,10 @@ from siltstone.tables import table
 MIN_BITS = 2.0
 #: A name with so many partners is no role mailbox, whatever its words.
 MIN_PARTNERS = 2
+#: A term counts as standing with an entity within so many words of its mention.
+NEAR = 8
+#: A term discloses an entity that stands near it in this share of its texts, in so many texts at least, with so many bits.
+DISCLOSED, DISCLOSED_TEXTS, DISCLOSED_BITS = 0.8, 3, 4.0
 #: Words of role mailboxes.
 ROLES = frozenset("abuse accounts admin administrator alerts archive billing board bot booking careers compliance contact customer data deploy desk dev finance front help helpdesk hostmaster hr info inquiries it jobs legal list mail mailbox marketing news newsletter noreply notifications office operations ops orders postmaster press privacy project records registry release reply reports reservations sales security service services support system team tech training updates webmaster".split())
 #: Counters and caches of a worker are emptied at this size; their partial counts are added up later.
@@ -95,7 +106,7 @@ BEFORE_BOX = re.compile(rf"(?<!\w)(?:[Pp]\.?\s?[Oo]\.?\s?(?i:box)|(?i:post offic
 BEFORE_ES = re.compile(rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Travesía|Carrera){GAP}(?:(?:de la|de los|de las|del|de){GAP})?(?:[A-ZÀ-Ý][\w'’-]*{GAP}){{0,3}}[A-ZÀ-Ý][\w'’-]*,?{GAP}(?:n\.?º\s?)?$")
 BEFORE_DE = re.compile(rf"(?<!\w)(?:(?:Alte[rns]?|Neue[rns]?|Große[rns]?|Kleine[rns]?|Obere[rns]?|Untere[rns]?|Lange[rns]?){GAP})?[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer|damm|steig|pfad|chaussee){GAP}$")
 BEFORE_AREA = re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den|Hinter der){GAP}[A-ZÄÖÜ][\wäöüß-]+{GAP}$")
-STREET_SPAN = 60
+STREET_SPAN = 200
 
 TITLES = r"(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Herrn|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sra|Sr|Señora|Señor|Don|Doña|Sir|Lady)\.?"
 PARTICLES = r"(?:von der|von dem|von|van der|van den|van|ten|ter|vom|zu|zum|zur|de la|de los|del|de|da|dos|di|du|la|le|al|bin|ben|el)"
@@ -112,9 +123,11 @@ PERSON = re.compile(
 )
 ANGLE = re.compile(r"<[^<>\s]{1,200}@")
 DISPLAY = re.compile(rf"(?:(?<!{LETTER})({LETTER}{{2,}}), ({LETTER}{{2,}})\"?,? |(?<!{LETTER})({LETTER}{{2,}}) ({LETTER}{{2,}})\"? )$")
-NAME_SPAN = 60
+NAME_SPAN = 200
 SNIPPET = 24
 JOIN = 40
+#: The standard allows a local part 64 octets and a path 254; no more can belong to an address.
+LOCAL_SPAN = 254
 
 
 def addresses(text: str) -> Iterator[tuple[int, int, str]]:
@@ -123,7 +136,7 @@ def addresses(text: str) -> Iterator[tuple[int, int, str]]:
         stop = at.start()
         if text[stop] != "@" and stop and text[stop - 1] in " \n\t\xa0":
             stop -= 1
-        local = LOCAL_END.search(text, max(0, stop - 100), stop)
+        local = LOCAL_END.search(text, max(0, stop - LOCAL_SPAN), stop)
         domain = local and DOMAIN.match(text, at.end())
         if domain:
             yield local.start(1), domain.end(), local[1]
@@ -136,7 +149,7 @@ def streets(text: str) -> Iterator[tuple[int, int]]:
         if (after := AFTER.match(text, end)) is not None:
             yield start, after.end()
             continue
-        words = text[max(0, start - STREET_SPAN) : start].split()
+        words = text[max(0, start - 60) : start].rsplit(None, 5)[-5:]  # a cheap look before the search
         if not words or text[start - 1] not in " \n\xa0\t":
             continue
         last = words[-1]
@@ -384,5 +397,100 @@ def p4_text(spark: SparkSession, folder: str) -> DataFrame:
     return last.join(found, ["source_table", "record_id"], "left").select("source_table", "record_id", masked("text", "spans").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_text": p4_text}
+def last_with_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """source_table, record_id, text and spans (null without any) of every record as delivered last."""
+    found = personal_mentions(spark, folder).groupBy("source_table", "record_id").agg(F.collect_list(F.struct("kind", "start_at", "end_at")).alias("spans"))
+    last = all_texts(spark, folder).groupBy("source_table", "record_id").agg(F.max(F.struct("version", "text")).alias("l")).select("source_table", "record_id", F.col("l.text").alias("text"))
+    return cut_lineage(last.join(found, ["source_table", "record_id"], "left"))
+
+
+def free_words(text: str, spans: list) -> list[tuple[int, int, str]]:
+    """(start, end, word in lower case) of the words outside the spans."""
+    ordered = sorted((m["start_at"], m["end_at"]) for m in spans)
+    out, at = [], 0
+    for m in re.finditer(rf"{LETTER}{{3,}}", text):
+        while at < len(ordered) and ordered[at][1] <= m.start():
+            at += 1
+        if at == len(ordered) or m.end() <= ordered[at][0]:
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
+
+
+def disclosing_terms(records: DataFrame, share: float = DISCLOSED, texts: int = DISCLOSED_TEXTS, least_bits: float = DISCLOSED_BITS) -> DataFrame:
+    """term, kind (of the entity it gives away), seen (texts with the term), together (texts with both near) and bits.
+
+    ``records`` needs text and spans; equal texts count once. Null and empty texts and texts
+    without mentions count as texts without entities. Of several entities that a term gives away
+    alike, the one of the greatest name is kept.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["term", "entity", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for text, spans in zip(batch["text"], batch["spans"], strict=True):
+                if not text:
+                    continue
+                spans = list(spans) if spans is not None else []
+                words = free_words(text, spans)
+                starts = [w[0] for w in words]
+                pairs = {(w, "") for _, _, w in words}
+                for m in spans:
+                    entity = f"{m['kind']}:{' '.join(text[m['start_at'] : m['end_at']].lower().split())}"
+                    at = bisect_left(starts, m["start_at"])
+                    pairs.add(("", entity))
+                    pairs |= {(w, entity) for _, _, w in words[max(0, at - NEAR) : at + NEAR]}
+                seen.update(pairs)
+                seen["", ""] += 1
+                if len(seen) > FLUSH:
+                    yield rows()
+        yield rows()
+
+    once_ = records.where(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    counts = cut_lineage(once_.select("text", "spans").mapInPandas(count, "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n")))
+    total = counts.where("term = '' and entity = ''").agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    both = counts.where((F.col("term") != "") & (F.col("entity") != "") & (F.col("n") >= texts))
+    best = both.groupBy("term").agg(F.max(F.struct("n", "entity")).alias("b")).select("term", F.col("b.n").alias("together"), F.col("b.entity").alias("entity"))
+    alone = counts.where("entity = ''").select("term", F.col("n").alias("seen"))
+    entity = counts.where("term = ''").select("entity", F.col("n").alias("texts"))
+    bits = F.log2((F.col("together") / F.col("seen")) / (F.col("texts") / total))
+    scored = best.join(alone, "term").where(F.col("together") >= share * F.col("seen")).join(entity, "entity").withColumn("bits", bits)
+    return scored.where(F.col("bits") >= least_bits).select("term", F.substring_index("entity", ":", 1).alias("kind"), "seen", "together", "bits")
+
+
+def sanitised(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """source_table, record_id and text with the mentions replaced by ``[KIND]`` and disclosing terms by ``[TERM]``."""
+    keys = ["source_table", "record_id"]
+    shared = records.sparkSession.sparkContext.broadcast(bloom.build(terms))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        member = bloom.Member(shared.value)
+        for batch in batches:
+            rows = []
+            for source, record, text, spans in zip(*(batch[c] for c in (*keys, "text", "spans")), strict=True):
+                rows += [(source, record, a, b, w) for a, b, w in free_words(text or "", list(spans) if spans is not None else []) if member(w)]
+            yield pd.DataFrame(rows, columns=[*keys, "start_at", "end_at", "term"])
+
+    hits = records.mapInPandas(find, "source_table string, record_id string, start_at int, end_at int, term string").join(terms.select("term"), "term", "left_semi")
+    more = hits.groupBy(*keys).agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start_at", "end_at")).alias("more"))
+    empty = F.expr("cast(array() as array<struct<kind:string,start_at:int,end_at:int>>)")
+    whole = records.join(more, keys, "left").withColumn("spans", F.concat(F.coalesce("spans", empty), F.coalesce("more", empty)))
+    return whole.select(*keys, masked("text", "spans").alias("text"))
+
+
+def p4_disclosing(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosing_terms(last_with_spans(spark, folder))
+
+
+def p4_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    records = last_with_spans(spark, folder)
+    return sanitised(records, cut_lineage(disclosing_terms(records)))
+
+
+QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p4_disclosing": p4_disclosing, "p4_sanitised": p4_sanitised}
 SQL: dict[str, str] = {}

@@ -66,3 +66,34 @@ def test_names_of_copied_texts_and_with_one_partner(spark, tmp_path):
     spark.createDataFrame([], "export_id string, text_body string, sender string, exported_at_epoch long").write.parquet(f"{tmp_path}/parsed_email.parquet")
     found = {(r["record_id"], r["start_at"]) for r in D.p4_found(spark, str(tmp_path)).collect() if r["kind"] == "person"}
     assert found == {(f"c{i}", 0) for i in range(28, 228)} | {("c228", 5)}
+
+
+def test_terms_that_give_an_entity_away_are_generalised(spark):
+    """A planted by-word stands beside one person only, common words beside everybody."""
+    people = ["Ilse Quandt", "Bo Lindgard", "Ada Moreaux", "Mira Lindgard"]
+    texts = [f"{people[i % 4]} inspected the archive rows at noon, case {i}" for i in range(40)]
+    texts += [f"the harpist of Ostvale, Ilse Quandt, inspected rows, case {i}" for i in range(6)]
+    texts += ["the archive of rows at noon near Ostvale needs the harpist", None, ""]
+    spans = lambda t: [("person", t.index(p), t.index(p) + len(p)) for p in people if p in t] if t else None
+    rows = [("episodes", f"e{i}", t, spans(t)) for i, t in enumerate(texts)] + [("episodes", "again", texts[41], spans(texts[41]))]
+    records = spark.createDataFrame(rows, "source_table string, record_id string, text string, spans array<struct<kind:string,start_at:int,end_at:int>>")
+    terms = D.disclosing_terms(records, least_bits=1.0)
+    assert {r["term"]: (r["kind"], r["seen"], r["together"]) for r in terms.collect()} == {"harpist": ("person", 7, 6), "ostvale": ("person", 7, 6)}
+    clean = {r["record_id"]: r["text"] for r in D.sanitised(records, terms).collect()}
+    assert clean["e40"] == "the [TERM] of [TERM], [PERSON], inspected rows, case 0" and clean["e0"] == "[PERSON] inspected the archive rows at noon, case 0"
+    assert clean["e46"] == "the archive of rows at noon near [TERM] needs the [TERM]" and clean["e47"] is None and clean["e48"] == ""
+    assert D.disclosing_terms(records.limit(0)).count() == 0
+
+
+def test_filter_is_sized_by_its_terms():
+    from siltstone.llm import bloom
+
+    assert bloom.size_for(0) == bloom.LEAST_BITS and bloom.size_for(1_000_000) == 1 << 24 and bloom.size_for(10**9) == bloom.MOST_BITS
+
+
+def test_filter_lets_few_others_pass(spark):
+    from siltstone.llm import bloom
+
+    known = spark.range(100_000).selectExpr("concat('w', id) AS term")
+    member = bloom.Member(bloom.build(known))
+    assert all(member(f"w{i}") for i in range(0, 100_000, 997)) and sum(member(f"x{i}") for i in range(20_000)) < 200
