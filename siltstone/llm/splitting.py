@@ -1,17 +1,20 @@
 """Pieces of oversized texts, cut at natural boundaries with an overlap (problem 3).
 
-Texts are handled by ranges of code points. Workers look for boundaries in one range with a
-small halo on both sides; what leaves a range is a thin table of boundary offsets and the
-lengths of its boundary-free runs. The tables of a text are stitched in order (run lengths add
-up across range borders), the piece ends are planned on offsets alone, and each piece is then
-emitted from the one range, with a halo of a piece's length, in which it starts. No step holds
-a whole text in Python.
+Texts are handled by ranges of bytes: those of a column as slices of its bytes, those of files
+as reads at an offset, so that no task holds a whole file. A code point belongs to the range in
+which its first byte lies. Workers look for boundaries in one range with a small halo on both
+sides; what leaves a range is its number of code points, a thin table of boundary offsets and
+the lengths of its boundary-free runs. The tables of a text then pass a planner in order, which
+adds up the lengths, stitches runs over borders and keeps only the boundaries of the next two
+pieces; a piece is emitted from the one range, with a halo of a piece's length, in which it
+starts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,10 @@ from siltstone.tables import latest, schema_with, table
 LIMIT = 4000
 OVERLAP = 200
 SLACK = 40  # the overlap may be shorter by this much to begin at a word
-RANGE = 65_536
-HALO = 4
+#: Bytes of a range of a text in a column, and of a file.
+RANGE, FILE_RANGE = 65_536, 4 << 20
+#: Bytes on both sides of a range in which a boundary may go on; a code point has at most four.
+HALO, WIDEST = 16, 4
 CELL = 16  # of the boundaries of one cell the strongest, last one is kept
 
 #: The characters that count as natural boundaries besides white space.
@@ -71,10 +76,13 @@ def runs(text: str) -> tuple[int, int, int]:
     return head, len(text) - last - 1, inner
 
 
-def plan(offsets: np.ndarray, strengths: np.ndarray, length: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, bool]]:
-    """(start, end, forced) of each piece: the strongest boundary of the window's latter half, else the last one, else the limit."""
-    pieces, start = [], 0
-    while length - start > limit:
+def plan(offsets: np.ndarray, strengths: np.ndarray, length: int, limit: int = LIMIT, overlap: int = OVERLAP, start: int = 0, ahead: int | None = None) -> list[tuple[int, int, bool, int]]:
+    """(start, end, forced, start of the next) of each piece: the strongest boundary of the window's latter half, else the last one, else the limit.
+
+    With ``ahead`` the text goes on: only pieces that end so far before ``length`` are given.
+    """
+    pieces = []
+    while length - start > limit + (0 if ahead is None else ahead):
         reach = start + limit
         first = np.searchsorted(offsets, start + overlap, side="right")
         stop = np.searchsorted(offsets, reach, side="right")
@@ -86,85 +94,163 @@ def plan(offsets: np.ndarray, strengths: np.ndarray, length: int, limit: int = L
             forced = False
         else:
             end, forced = reach, True
-        pieces.append((start, end, forced))
         begin = end - overlap
         at = np.searchsorted(offsets, begin)
         if at < len(offsets) and begin <= offsets[at] <= begin + SLACK:
             begin = int(offsets[at])
-        ahead = np.searchsorted(offsets, end, side="right")
-        if ahead < len(offsets) and begin + limit < offsets[ahead] <= end + limit:
-            begin = int(offsets[ahead]) - limit  # keeps the next natural boundary within reach
+        after = np.searchsorted(offsets, end, side="right")
+        if after < len(offsets) and begin + limit < offsets[after] <= end + limit:
+            begin = int(offsets[after]) - limit  # keeps the next natural boundary within reach
+        pieces.append((start, end, forced, min(begin, end)))
         start = min(begin, end)
-    pieces.append((start, length, False))
+    if ahead is None:
+        pieces.append((start, length, False, length))
     return pieces
 
 
-def ranges_of(texts: DataFrame, key: str, text: str, left: int, right: int) -> DataFrame:
-    """One row per range of a text: number, start, size of the core, and the core with its halos."""
-    size = F.length(text)
-    cut = texts.select(key, text, size.alias("_n"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(RANGE))).alias("_start"))
-    lead: Column = F.least(F.lit(left), F.col("_start"))
-    return cut.select(
-        key,
-        (F.col("_start") / RANGE).cast("int").alias("_range"),
-        F.col("_start"),
-        lead.alias("_lead"),
-        F.least(F.lit(RANGE), F.col("_n") - F.col("_start")).alias("_size"),
-        F.col("_n"),
-        F.substring(F.col(text), F.col("_start") - lead + 1, lead + RANGE + right).alias("_text"),
-    )
-
-
-def boundary_tables(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """What each range gives away: boundaries and run lengths."""
-    source = ranges_of(texts, key, text, HALO, HALO)
-    names = [key, "_range", "_n", "offsets", "strengths", "head", "tail", "inner", "_size"]
-    schema = schema_with(texts, key, "_range int, _n int, offsets array<int>, strengths array<int>, head int, tail int, inner int, _size int")
+@dataclass
+class Planner:
+    """Takes the tables of a text's ranges in order and gives its pieces; holds no more than the boundaries ahead."""
+
+    at: int = 0  # code points seen
+    start: int = 0  # of the piece to come
+    run: int = 0
+    longest: int = 0
+    offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    strengths: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    ranges: list[tuple[int, int]] = field(default_factory=list)  # (first code point, number) of the ranges from ``start`` on
+
+    def take(self, part: dict) -> list[tuple[int, int, bool, int, int]]:
+        """(start, end, forced, range, start within it) of the pieces that this range completes."""
+        size = int(part["size"])
+        if part["head"] == size:
+            self.run += size
+        else:
+            self.longest = max(self.longest, self.run + int(part["head"]), int(part["inner"]))
+            self.run = int(part["tail"])
+        self.longest = max(self.longest, self.run)
+        self.ranges.append((self.at, int(part["number"])))
+        self.offsets = np.concatenate((self.offsets, np.asarray(part["offsets"], dtype=np.int64) + self.at))
+        self.strengths = np.concatenate((self.strengths, np.asarray(part["strengths"], dtype=np.int64)))
+        self.at += size
+        # a piece and the boundary after it are known once two pieces' lengths have been seen
+        return self.placed(plan(self.offsets, self.strengths, self.at, start=self.start, ahead=LIMIT))
+
+    def rest(self) -> list[tuple[int, int, bool, int, int]]:
+        return self.placed(plan(self.offsets, self.strengths, self.at, start=self.start)) if self.at > LIMIT else []
+
+    def placed(self, pieces: list[tuple[int, int, bool, int]]) -> list[tuple[int, int, bool, int, int]]:
+        out = []
+        for start, end, forced, following in pieces:
+            while len(self.ranges) > 1 and self.ranges[1][0] <= start:
+                self.ranges.pop(0)
+            out.append((start, end, forced, self.ranges[0][1], start - self.ranges[0][0]))
+            self.start = following
+        keep = np.searchsorted(self.offsets, self.start)
+        self.offsets, self.strengths = self.offsets[keep:], self.strengths[keep:]
+        return out
+
+
+def slices(texts: DataFrame, key: str, text: str, left: int, right: int) -> DataFrame:
+    """One row per range of bytes of a text: number, bytes before it, and its bytes with ``left`` and ``right`` around."""
+    raw = texts.select(key, F.col(text).cast("binary").alias("_b")).select(key, "_b", F.octet_length("_b").alias("_n"))
+    cut = raw.select(key, "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(RANGE))).alias("_from"))
+    lead: Column = F.least(F.lit(left), F.col("_from"))
+    size = F.least(F.lit(RANGE), F.col("_n") - F.col("_from"))
+    return cut.select(key, (F.col("_from") / RANGE).cast("int").alias("number"), lead.alias("lead"), size.alias("core"), F.substring(F.col("_b"), F.col("_from") - lead + 1, lead + size + right).alias("raw"))
+
+
+def first_byte(raw: bytes, at: int) -> int:
+    """The place of the first code point that begins at ``at`` or later."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def ranged(raw: bytes, lead: int, core: int) -> tuple[str, int, int]:
+    """The range with its halos as text, the code points before it, and its own."""
+    begin, end = first_byte(raw, lead) if lead else 0, first_byte(raw, lead + core)
+    before = raw[first_byte(raw, 0) if lead else 0 : begin].decode("utf-8", "replace")
+    own = raw[begin:end].decode("utf-8", "replace")
+    return before + own + raw[end:].decode("utf-8", "replace"), len(before), len(own)
+
+
+TABLE = "number int, size int, offsets array<int>, strengths array<int>, head int, tail int, inner int"
+PLANNED = "piece_no int, start_at long, end_at long, forced boolean, number int, local int, cut string"
+
+
+def boundary_table(raw: bytes, lead: int, core: int) -> tuple:
+    """What a range gives away: code points, boundaries and run lengths."""
+    text, before, size = ranged(raw, lead, core)
+    found = boundaries(text, before, size)
+    return (size, [at for at, _ in found], [s for _, s in found], *runs(text[before : before + size]))
+
+
+def planned_from(tables: DataFrame, key: str) -> DataFrame:
+    """The pieces of each text, and after them a row without piece number that says how it is cut; no rows for texts within the limit.
+
+    The tables of a text stand in one task in order, but pass it one by one.
+    """
+
+    def plan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, planner, number = None, None, 0
+
+        def rows(pieces: list[tuple[int, int, bool, int, int]]) -> list[tuple]:
+            nonlocal number
+            out = [(name, number + i, a, b, forced, at, local, None) for i, (a, b, forced, at, local) in enumerate(pieces)]
+            number += len(out)
+            return out
+
+        def close() -> list[tuple]:
+            if planner is None or planner.at <= LIMIT:
+                return []
+            return [*rows(planner.rest()), (name, None, None, None, None, None, None, "forced" if planner.longest > LIMIT else "natural")]
 
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=[key, "piece_no", "start_at", "end_at", "forced", "number", "local", "cut"])
+            return made.astype({c: "Int64" for c in ("piece_no", "start_at", "end_at", "number", "local")} | {"forced": "boolean"})
+
+        for batch in batches:
+            out: list[tuple] = []
+            for part in batch.to_dict("records"):
+                if planner is None or part[key] != name:
+                    out += close()
+                    name, planner, number = part[key], Planner(), 0
+                out += rows(planner.take(part))
+            yield frame(out)
+        yield frame(close())
+
+    schema = schema_with(tables, key, PLANNED)
+    return tables.repartition(key).sortWithinPartitions(key, "number").mapInPandas(plan_all, schema)
+
+
+def planned_ranges(texts: DataFrame, key: str, text: str) -> DataFrame:
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, number, start, lead, size, n, body in zip(batch[key], batch["_range"], batch["_start"], batch["_lead"], batch["_size"], batch["_n"], batch["_text"], strict=True):
-                found = boundaries(body, lead, size)
-                head, tail, inner = runs(body[lead : lead + size])
-                rows.append((name, number, n, [start + at for at, _ in found], [s for _, s in found], head, tail, inner, size))
-            yield pd.DataFrame(rows, columns=names)
-
-    return source.mapInPandas(detect, schema)
-
-
-def stitch(parts: list) -> tuple[int, int, list[tuple[int, int, bool]]]:
-    """Length, longest boundary-free run and pieces of one text from the tables of its ranges."""
-    parts = sorted(parts, key=lambda p: p["_range"])
-    longest = open_run = 0
-    for p in parts:
-        if p["head"] == p["_size"]:
-            open_run += p["_size"]
-        else:
-            longest = max(longest, open_run + p["head"], p["inner"])
-            open_run = p["tail"]
-    longest = max(longest, open_run)
-    offsets = np.fromiter((at for p in parts for at in p["offsets"]), dtype=np.int64)
-    strengths = np.fromiter((s for p in parts for s in p["strengths"]), dtype=np.int64)
-    return int(parts[0]["_n"]), longest, plan(offsets, strengths, int(parts[0]["_n"]))
+            found = [(name, number, *boundary_table(raw, lead, core)) for name, number, lead, core, raw in zip(batch[key], batch["number"], batch["lead"], batch["core"], batch["raw"], strict=True)]
+            yield pd.DataFrame(found, columns=[key, "number", "size", "offsets", "strengths", "head", "tail", "inner"])
+
+    return planned_from(slices(texts, key, text, HALO, HALO).mapInPandas(detect, schema_with(texts, key, TABLE)), key)
 
 
 def planned(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, cut and the pieces' offsets of every text over the limit."""
-    tables = boundary_tables(texts, key, text)
-    names = ["_range", "_n", "offsets", "strengths", "head", "tail", "inner", "_size"]
-    gathered = tables.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("parts"))
+    """key and cut of every text over the limit."""
+    return planned_ranges(texts, key, text).where("piece_no IS NULL").select(key, "cut")
+
+
+PIECES = "piece_no int, start_at long, end_at long, forced boolean, piece string"
 
-    @F.pandas_udf("struct<longest:int,pieces:array<struct<piece_no:int,start_at:int,end_at:int,forced:boolean>>>")
-    def join_up(parts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in parts:
-            _, longest, pieces = stitch(list(p))
-            rows.append((longest, [{"piece_no": i, "start_at": a, "end_at": b, "forced": f} for i, (a, b, f) in enumerate(pieces)]))
-        return pd.DataFrame(rows, columns=["longest", "pieces"])
 
-    done = gathered.select(key, join_up("parts").alias("p"))
-    return done.select(key, F.when(F.col("p.longest") > LIMIT, "forced").otherwise("natural").alias("cut"), "p.pieces")
+def pieces_of(name: object, raw: bytes, lead: int, core: int, pieces: list) -> list[tuple]:
+    """The pieces that start in a range."""
+    text, before, _ = ranged(raw, lead, core)
+    return [(name, p["piece_no"], p["start_at"], p["end_at"], p["forced"], text[before + p["local"] : before + p["local"] + p["end_at"] - p["start_at"]]) for p in pieces]
+
+
+def by_range(plan_: DataFrame, key: str) -> DataFrame:
+    """The pieces that start in each range in one row; there are few, as each but the last moves on by half a limit."""
+    wanted = F.struct("piece_no", "start_at", "end_at", "forced", "local")
+    return plan_.where("piece_no IS NOT NULL").groupBy(key, "number").agg(F.collect_list(wanted).alias("pieces"))
 
 
 def split_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -176,11 +262,50 @@ def split_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     is shortened to begin at a word, or where otherwise the next boundary would be out of reach.
     """
     long = texts.where(F.length(text) > LIMIT)
-    pieces = planned(long, key, text).select(key, F.explode("pieces").alias("p")).select(key, "p.*")
-    pieces = pieces.withColumn("_range", (F.col("start_at") / RANGE).cast("int"))
-    bodies = ranges_of(long, key, text, 0, LIMIT).select(key, "_range", "_start", "_text")
-    piece = F.substring(F.col("_text"), F.col("start_at") - F.col("_start") + 1, F.col("end_at") - F.col("start_at"))
-    return pieces.join(bodies, [key, "_range"]).select(key, "piece_no", "start_at", "end_at", "forced", piece.alias("piece"))
+    bodies = slices(long, key, text, WIDEST, WIDEST * (LIMIT + 1))
+    joined = by_range(planned_ranges(long, key, text), key).join(bodies, [key, "number"])
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [row for name, pieces, lead, core, raw in zip(batch[key], batch["pieces"], batch["lead"], batch["core"], batch["raw"], strict=True) for row in pieces_of(name, raw, lead, core, pieces)]
+            yield pd.DataFrame(out, columns=[key, "piece_no", "start_at", "end_at", "forced", "piece"])
+
+    return joined.select(key, "pieces", "lead", "core", "raw").mapInPandas(emit, schema_with(long, key, PIECES))
+
+
+def split_files(spark: SparkSession, folder: str, step: int = FILE_RANGE) -> DataFrame:
+    """path, piece_no, start_at, end_at, forced and piece of every UTF-8 file below a folder that is over the limit.
+
+    Files are listed without their content; each task reads its range of ``step`` bytes at its
+    offset, once for the boundaries and once for the pieces, through the file system that the
+    path names. Empty files give no rows; bytes that are no UTF-8 count as replacement characters.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes")).where("bytes > 0")
+    ranges = listed.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))).alias("begin"))
+    ranges = ranges.select("path", "bytes", "begin", (F.col("begin") / step).cast("int").alias("number")).repartition("path", "number")
+
+    def read(path: str, size: int, begin: int, left: int, right: int) -> tuple[bytes, int, int]:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        lead, core = min(left, begin), min(step, size - begin)
+        with system.open_input_file(place) as source:
+            source.seek(begin - lead)
+            return source.read(lead + core + right), lead, core
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, size, begin, number in zip(batch["path"], batch["bytes"], batch["begin"], batch["number"], strict=True):
+                yield pd.DataFrame([(path, number, *boundary_table(*read(path, size, begin, HALO, HALO)))], columns=["path", "number", "size", "offsets", "strengths", "head", "tail", "inner"])
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, size, begin, pieces in zip(batch["path"], batch["bytes"], batch["begin"], batch["pieces"], strict=True):
+                out = pieces_of(path, *read(path, size, begin, WIDEST, WIDEST * (LIMIT + 1)), pieces)
+                yield pd.DataFrame(out, columns=["path", "piece_no", "start_at", "end_at", "forced", "piece"])
+
+    planned_ = planned_from(ranges.mapInPandas(detect, f"path string, {TABLE}"), "path")
+    return by_range(planned_, "path").join(ranges, ["path", "number"]).select("path", "bytes", "begin", "pieces").mapInPandas(emit, f"path string, {PIECES}")
 
 
 def long_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +316,7 @@ def long_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return planned(long_chunks(spark, folder), "chunk_id", "body").select("chunk_id", "cut")
+    return planned(long_chunks(spark, folder), "chunk_id", "body")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:

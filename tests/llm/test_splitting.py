@@ -18,7 +18,7 @@ def test_plan_covers_text_and_keeps_overlap():
     offsets = np.array([3900, 7700, 9000])
     pieces = S.plan(offsets, np.array([4, 2, 0]), 9500)
     assert pieces[0][:2] == (0, 3900)
-    for (a0, b0, _), (a1, b1, _) in zip(pieces, pieces[1:], strict=False):
+    for (a0, b0, *_), (a1, b1, *_) in zip(pieces, pieces[1:], strict=False):
         assert a1 <= b0 and b0 - a1 <= S.OVERLAP and b1 > b0
     assert pieces[-1][1] == 9500
 
@@ -60,16 +60,50 @@ def test_split_texts(spark):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_stitching_ranges_equals_the_whole(seed, monkeypatch):
+def test_stitching_ranges_equals_the_whole(seed):
     rng = random.Random(seed)
-    monkeypatch.setattr(S, "RANGE", 50)
-    text = "".join(rng.choice("ab. \n" if rng.random() < 0.1 else "abcdef") for _ in range(rng.randint(1, 400)))
-    parts = []
-    for number, start in enumerate(range(0, len(text), 50)):
-        core = text[start : start + 50]
-        head, tail, inner = S.runs(core)
-        parts.append({"_range": number, "_n": len(text), "_size": len(core), "head": head, "tail": tail, "inner": inner, "offsets": [], "strengths": []})
-    assert S.stitch(parts)[1] == brute_runs(text)
+    text = "".join(rng.choice("ab. \nö文😀" if rng.random() < 0.1 else "abcdeß") for _ in range(rng.randint(1, 400)))
+    raw = text.encode()
+    planner, offsets = S.Planner(), []
+    for number, start in enumerate(range(0, len(raw), 50)):
+        lead, core = min(S.HALO, start), min(50, len(raw) - start)
+        size, at, strengths, head, tail, inner = S.boundary_table(raw[start - lead : start + core + S.HALO], lead, core)
+        offsets += [planner.at + x for x in at]
+        planner.take({"number": number, "size": size, "offsets": at, "strengths": strengths, "head": head, "tail": tail, "inner": inner})
+    assert (planner.at, planner.longest) == (len(text), brute_runs(text))
+    assert all(text[x - 1].isspace() or text[x - 1] in S.MARKS or text[x - 1] in "\"')]" for x in offsets)
+
+
+def test_streamed_plan_equals_the_whole():
+    rng = random.Random(9)
+    for _ in range(20):
+        sizes = [rng.randint(1, 9000) for _ in range(rng.randint(1, 30))]
+        tables = [sorted(rng.sample(range(1, n + 1), rng.randint(0, n // rng.choice([20, 500, 5000])))) for n in sizes]
+        strengths = [[rng.randint(0, 4) for _ in t] for t in tables]
+        planner, pieces, at, offsets = S.Planner(), [], 0, []
+        for number, (n, t, s) in enumerate(zip(sizes, tables, strengths, strict=True)):
+            pieces += planner.take({"number": number, "size": n, "offsets": t, "strengths": s, "head": n, "tail": n, "inner": n})
+            offsets += [at + x for x in t]
+            at += n
+            assert len(planner.offsets) <= 4 * S.LIMIT + 9000
+        pieces += planner.rest()
+        want = S.plan(np.array(offsets, dtype=np.int64), np.array(sum(strengths, []), dtype=np.int64), at) if at > S.LIMIT else []
+        assert [p[:3] for p in pieces] == [p[:3] for p in want]
+        begins = np.cumsum([0, *sizes])
+        assert all(begins[number] + local == a and local < sizes[number] for a, _, _, number, local in pieces)
+
+
+def test_files_are_split_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["wört", "文字。", "plain", "😀", "end.\n\n"]) for _ in range(60_000))
+    (tmp_path / "big.txt").write_text(text, newline="")
+    (tmp_path / "none.txt").write_text("")
+    (tmp_path / "small.txt").write_text("x y")
+    rows = sorted(S.split_files(spark, str(tmp_path), step=10_001).collect(), key=lambda r: r["piece_no"])
+    assert {r["path"].rpartition("/")[2] for r in rows} == {"big.txt"} and [r["piece_no"] for r in rows] == list(range(len(rows)))
+    assert rows[0]["start_at"] == 0 and rows[-1]["end_at"] == len(text)
+    assert all(r["piece"] == text[r["start_at"] : r["end_at"]] and len(r["piece"]) <= S.LIMIT for r in rows)
+    assert all(0 < a["end_at"] - b["start_at"] <= S.OVERLAP for a, b in zip(rows, rows[1:]))
 
 
 def test_empty_table(spark):
