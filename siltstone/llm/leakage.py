@@ -164,4 +164,20 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found}
-SQL: dict[str, str] = {}
+SQL = {
+    "p8_found": """
+WITH passages AS (
+  SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL AND item_id IS NOT NULL
+), sized AS (
+  SELECT item_id, w, least(13, len(w)) AS size FROM passages WHERE len(w) > 0
+), patterns AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS run FROM sized, unnest(range(1, len(w) - size + 2)) AS r(i)
+), texts AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), runs AS (
+  SELECT doc_id, size, array_to_string(w[i : i + size - 1], ' ') AS run
+  FROM texts, (SELECT DISTINCT size FROM sized), unnest(range(1, len(w) - size + 2)) AS r(i)
+)
+SELECT DISTINCT doc_id, item_id FROM runs JOIN patterns USING (size, run)
+"""
+}
