@@ -106,14 +106,17 @@ def family_key(title: Column | str) -> Column:
 
 #: Extensions by kind, in the order in which kinds are tried.
 KINDS = {
-    "sensitive_metadata": ".pem .key .pfx .p12 .kdbx",
-    "subtitle": ".srt .vtt .ass",
-    "mail": ".eml .msg .mbox",
-    "calendar": ".ics",
-    "contact": ".vcf",
-    "structured_data": ".csv .tsv .psv .ssv .jsonl .ndjson",
-    "report": ".sarif .trx .tap .lcov .har",
-    "database": ".sqlite .sqlite3 .db",
+    "sensitive_metadata": ".age .cer .crt .gpg .jks .kdbx .key .kstore .p12 .pem .pfx .pgp",
+    "subtitle": ".ass .dfxp .sbv .srt .ssa .ttml .vtt",
+    "mail": ".eml .mbox .msg",
+    "calendar": ".ics .ical .ifb",
+    "contact": ".vcf .vcard",
+    "structured_data": ".csv .tsv .psv .ssv .jsonl .jsonld .ndjson",
+    "report": ".burp .cyclonedx .har .lcov .nessus .nmap .sarif .spdx .tap .trx .zap",
+    "database": ".accdb .db .dbf .duckdb .fdb .mdb .sqlite .sqlite3",
+    "geospatial": ".geojson .gpx .gpkg .kml .kmz .mbtiles .shp .topojson",
+    "cad": ".dae .dgn .dwg .dxf .fbx .gltf .glb .ifc .ifczip .obj .rfa .rvt .skp .stl .stp .step .usd .usda .usdc .usdz",
+    "scientific": ".fits .h5 .hdf5 .mat .nc .netcdf .npy .npz",
     "diagram": ".drawio .vsdx .mmd .puml",
     "code": ".py .js .ts .tsx .jsx .cs .go .rs .java .sql .ps1 .sh .c .h .cpp .css .html .json .yaml .yml .toml",
     "text": ".md .txt .rst .log .ini .cfg",

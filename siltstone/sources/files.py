@@ -2,7 +2,8 @@
 
 A scan lists files without their content. Readers turn bytes into documents by a UDTF-like
 ``mapInPandas`` over (path, content): status, title, text and a JSON of counts. Broken input
-gives a status, never an error.
+gives a status, never an error. Keys and certificates are never decoded. Readers give all they
+find unless an argument bounds it; tables and workbooks are sampled, with their counts exact.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from __future__ import annotations
 import csv
 import email
 import email.policy
+import html
 import io
 import json
 import re
 import sqlite3
 import tarfile
-import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -29,8 +31,6 @@ from siltstone.functions import hashing as H
 from siltstone.functions import paths as P
 
 SAMPLE = 10
-MAX_MESSAGES = 50
-MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_TOTAL_BYTES = 200, 10 << 20, 50 << 20
 DOCUMENT = "path string, status string, title string, text string, counts string"
 
 
@@ -150,18 +150,31 @@ def _mail_text(message: email.message.Message) -> str:
     return "\n".join(texts).replace("\r\n", "\n").strip()
 
 
+def _messages(data: bytes) -> Iterator[email.message.Message]:
+    """The messages of an eml or mbox file, one after the other."""
+    if not data.startswith(b"From "):
+        pieces: Iterator[bytes] = iter([data])
+    else:
+        starts = [m.end() for m in re.finditer(rb"(?m)^From .*\r?\n(?=[\w-]+:)", data)]
+        ends = [m.start() for m in re.finditer(rb"(?m)^From .*\r?\n(?=[\w-]+:)", data)][1:] + [len(data)]
+        pieces = (data[a:b] for a, b in zip(starts, ends, strict=True))
+    for piece in pieces:
+        if piece.strip():
+            yield email.message_from_bytes(piece, policy=email.policy.compat32)
+
+
+def _header(message: email.message.Message, name: str) -> str:
+    return str(email.header.make_header(email.header.decode_header(message.get(name) or "")))
+
+
 def read_mail(data: bytes) -> tuple:
-    """Subject and body of the messages of an eml or mbox file."""
-    raw = re.split(rb"(?m)^From .*\r?\n(?=[\w-]+:)", data) if data.startswith(b"From ") else [data]
-    raw = [r for r in raw if r.strip()]
+    """Subject and body of all messages of an eml or mbox file."""
     parts, attachments, subjects = [], 0, []
-    for one in raw[:MAX_MESSAGES]:
-        message = email.message_from_bytes(one, policy=email.policy.compat32)
-        subject = str(email.header.make_header(email.header.decode_header(message.get("Subject") or "")))
-        subjects.append(subject)
+    for message in _messages(data):
+        subjects.append(_header(message, "Subject"))
         attachments += sum(p.get_content_disposition() == "attachment" for p in message.walk())
-        parts.append(f"Subject: {subject}\n{_mail_text(message)}")
-    return result("extracted" if parts else "empty", title=subjects[0] if subjects else "", text="\n\n".join(parts), messages=len(raw), attachments=attachments)
+        parts.append(f"Subject: {subjects[-1]}\n{_mail_text(message)}")
+    return result("extracted" if parts else "empty", title=subjects[0] if subjects else "", text="\n\n".join(parts), messages=len(parts), attachments=attachments)
 
 
 def read_calendar(data: bytes) -> tuple:
@@ -170,7 +183,7 @@ def read_calendar(data: bytes) -> tuple:
     text = re.sub(r"\n[ \t]", "", decode(data))
     blocks = re.findall(r"(?ms)^BEGIN:(VEVENT|VTODO|VCARD)\n(.*?)^END:\1", text)
     out = []
-    for _, block in blocks[:MAX_MESSAGES]:
+    for _, block in blocks:
         lines = []
         for line in block.split("\n"):
             name, colon, value = line.partition(":")
@@ -195,17 +208,17 @@ def read_report(data: bytes) -> tuple:
             return result("invalid", error=str(problem))
         if isinstance(value.get("runs"), list):
             found = [r for run in value["runs"] for r in run.get("results", [])]
-            lines = [f"{r.get('level', 'warning')} {r.get('ruleId', '')}: {(r.get('message') or {}).get('text', '')}" for r in found[:MAX_MESSAGES]]
+            lines = [f"{r.get('level', 'warning')} {r.get('ruleId', '')}: {(r.get('message') or {}).get('text', '')}" for r in found]
             return result("extracted", "SARIF report", "\n".join(lines), format="sarif", results=len(found))
         if "bomFormat" in value:
             parts = value.get("components", [])
-            return result("extracted", "CycloneDX", "\n".join(f"{c.get('name')} {c.get('version', '')}".strip() for c in parts[:MAX_MESSAGES]), format="cyclonedx", components=len(parts))
+            return result("extracted", "CycloneDX", "\n".join(f"{c.get('name')} {c.get('version', '')}".strip() for c in parts), format="cyclonedx", components=len(parts))
         if "spdxVersion" in value:
             parts = value.get("packages", [])
-            return result("extracted", "SPDX", "\n".join(f"{c.get('name')} {c.get('versionInfo', '')}".strip() for c in parts[:MAX_MESSAGES]), format="spdx", packages=len(parts))
+            return result("extracted", "SPDX", "\n".join(f"{c.get('name')} {c.get('versionInfo', '')}".strip() for c in parts), format="spdx", packages=len(parts))
         if isinstance(value.get("log"), dict):
             entries = value["log"].get("entries", [])
-            lines = [f"{e.get('request', {}).get('method', '')} {e.get('request', {}).get('url', '').partition('?')[0]} {e.get('response', {}).get('status', '')}" for e in entries[:MAX_MESSAGES]]
+            lines = [f"{e.get('request', {}).get('method', '')} {e.get('request', {}).get('url', '').partition('?')[0]} {e.get('response', {}).get('status', '')}" for e in entries]
             return result("extracted", "HAR", "\n".join(lines), format="har", entries=len(entries))
         return result("unsupported")
     if text.startswith("<"):
@@ -217,17 +230,17 @@ def read_report(data: bytes) -> tuple:
         cases = [n for n in nodes if _local(n.tag) == "testcase"]
         if cases or _local(root.tag) in ("testsuite", "testsuites"):
             failed = [n for n in cases if any(_local(c.tag) in ("failure", "error") for c in n)]
-            return result("extracted", "JUnit", "\n".join(f"failed {n.get('classname', '')}.{n.get('name', '')}" for n in failed[:MAX_MESSAGES]), format="junit", tests=len(cases), failures=len(failed))
+            return result("extracted", "JUnit", "\n".join(f"failed {n.get('classname', '')}.{n.get('name', '')}" for n in failed), format="junit", tests=len(cases), failures=len(failed))
         if _local(root.tag) == "TestRun":
             tests = [n for n in nodes if _local(n.tag) == "UnitTestResult"]
             failed = [n for n in tests if n.get("outcome") == "Failed"]
-            return result("extracted", "TRX", "\n".join(f"failed {n.get('testName', '')}" for n in failed[:MAX_MESSAGES]), format="trx", tests=len(tests), failures=len(failed))
+            return result("extracted", "TRX", "\n".join(f"failed {n.get('testName', '')}" for n in failed), format="trx", tests=len(tests), failures=len(failed))
         if _local(root.tag) == "coverage":
             return result("extracted", "Coverage", f"line-rate {root.get('line-rate')}", format="coverage", line_rate=root.get("line-rate"), classes=sum(_local(n.tag) == "class" for n in nodes))
         return result("unsupported")
     if re.search(r"(?m)^(?:ok|not ok) \d+", text):
         failed = re.findall(r"(?m)^not ok \d+.*", text)
-        return result("extracted", "TAP", "\n".join(failed[:MAX_MESSAGES]), format="tap", tests=len(re.findall(r"(?m)^(?:not )?ok \d+", text)), failures=len(failed))
+        return result("extracted", "TAP", "\n".join(failed), format="tap", tests=len(re.findall(r"(?m)^(?:not )?ok \d+", text)), failures=len(failed))
     if re.search(r"(?m)^(?:SF|DA):", text):
         total, hit = sum(map(int, re.findall(r"(?m)^LF:(\d+)", text))), sum(map(int, re.findall(r"(?m)^LH:(\d+)", text)))
         return result("extracted", "LCOV", f"{hit} of {total} lines", format="lcov", lines=total, hit=hit)
@@ -238,49 +251,70 @@ def read_database(data: bytes) -> tuple:
     """Tables and columns of a SQLite file; no rows are read."""
     if not data.startswith(b"SQLite format 3\x00"):
         return result("invalid")
-    with tempfile.NamedTemporaryFile(suffix=".db") as copy:
-        copy.write(data)
-        copy.flush()
-        try:
-            with sqlite3.connect(f"file:{copy.name}?mode=ro", uri=True) as connection:
-                names = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-                quoted = lambda n: '"' + n.replace('"', '""') + '"'
-                lines = [f"{n}: " + ", ".join(r[1] for r in connection.execute(f"PRAGMA table_info({quoted(n)})")) for n in names]
-        except sqlite3.DatabaseError as problem:
-            return result("invalid", error=str(problem))
+    connection = sqlite3.connect(":memory:")
+    try:
+        connection.deserialize(data)
+        names = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+        quoted = lambda n: '"' + n.replace('"', '""') + '"'
+        lines = [f"{n}: " + ", ".join(r[1] for r in connection.execute(f"PRAGMA table_info({quoted(n)})")) for n in names]
+    except sqlite3.Error as problem:
+        return result("invalid", error=str(problem))
+    finally:
+        connection.close()
     return result("extracted", text="\n".join(lines), tables=len(names))
 
 
-class _Readable(HTMLParser):
-    SKIPPED = frozenset("script style noscript svg".split())
+class _Events(HTMLParser):
+    """The markup as a flat list of (what, name or text, attributes); both functions below fold over it."""
 
-    def __init__(self) -> None:
+    def __init__(self, markup: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip = 0
-        self.in_title = False
-        self.title: list[str] = []
-        self.text: list[str] = []
+        self.seen: list[tuple[str, str, list]] = []
+        self.feed(markup)
+        self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skip += tag in self.SKIPPED
-        self.in_title = tag == "title"
+        self.seen.append(("open", tag, attrs))
 
     def handle_endtag(self, tag: str) -> None:
-        self.skip = max(0, self.skip - (tag in self.SKIPPED))
-        self.in_title = self.in_title and tag != "title"
+        self.seen.append(("close", tag, []))
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.skip:
-            self.text.append(data)
+        self.seen.append(("text", data, []))
+
+
+#: Elements without an end, elements that begin a line of their own, and elements whose content is not read.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
+UNREAD = frozenset("script style noscript template svg iframe object".split())
+SAFE = frozenset("p br div span b i em strong ul ol li a blockquote pre code table tr td th h1 h2 h3 h4".split())
+
+
+def leave(within: list[str], tag: str) -> None:
+    """Closes ``tag`` and what was left open inside it; an end without a start changes nothing."""
+    if tag in within:
+        del within[len(within) - 1 - within[::-1].index(tag) :]
 
 
-def readable_html(text: str) -> tuple[str, str]:
-    parser = _Readable()
-    parser.feed(text)
-    parser.close()
-    return " ".join("".join(parser.title).split()), " ".join(" ".join(parser.text).split())
+def readable_html(markup: str) -> tuple[str, str]:
+    """Title and text of a page; every block element is a line, white space within lines is one blank."""
+    within: list[str] = []
+    title, lines = "", [""]
+    for what, value, _ in _Events(markup).seen:
+        if what == "text":
+            if "title" in within and "svg" not in within:
+                title += value
+            elif not UNREAD.intersection(within):
+                lines[-1] += value
+            continue
+        if value in BLOCKS:
+            lines.append("")
+        if what == "close":
+            leave(within, value)
+        elif value not in VOID:
+            within.append(value)
+    filled = (" ".join(line.split()) for line in lines)
+    return " ".join(title.split()), "\n".join(line for line in filled if line)
 
 
 def read_html(data: bytes) -> tuple:
@@ -288,48 +322,268 @@ def read_html(data: bytes) -> tuple:
     return result("extracted" if text else "empty", title, text)
 
 
-class _Safe(HTMLParser):
-    KEPT = frozenset("p br div span b i em strong ul ol li a blockquote pre code table tr td th h1 h2 h3 h4".split())
-    DROPPED = frozenset("script style iframe object svg".split())
+def sanitised_html(markup: str) -> str:
+    """Markup without scripts, styles, attributes and unsafe links."""
+    within: list[str] = []
+    out: list[str] = []
+    for what, value, attrs in _Events(markup).seen:
+        if what == "text":
+            if not UNREAD.intersection(within):
+                out.append(html.escape(value, quote=False))
+            continue
+        if what == "close":
+            leave(within, value)
+        elif value not in VOID:
+            within.append(value)
+        if value not in SAFE or UNREAD.intersection(within):
+            continue
+        if what == "close":
+            out.append(f"</{value}>")
+            continue
+        link = dict(attrs).get("href") if value == "a" else None
+        safe = link is not None and re.match(r"\s*(?:https?|mailto):", link, re.I)
+        out.append(f'<a href="{html.escape(link)}" rel="noopener">' if safe else f"<{value}>")
+    return "".join(out)
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.skip = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.DROPPED:
-            self.skip += 1
-        elif tag in self.KEPT and not self.skip:
-            href = next((v for k, v in attrs if tag == "a" and k == "href" and re.match(r"(?:https?|mailto):", (v or "").strip(), re.I)), None)
-            quoted = (href or "").replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
-            self.out.append(f'<{tag} href="{quoted}" rel="noopener">' if href else f"<{tag}>")
+# ------------------------------------------------------------------ office, publications, diagrams
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.DROPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag in self.KEPT and not self.skip:
-            self.out.append(f"</{tag}>")
 
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data.replace("<", "&lt;"))
+def _entries(data: bytes) -> zipfile.ZipFile:
+    return zipfile.ZipFile(io.BytesIO(data))
 
-    def handle_entityref(self, name: str) -> None:
-        if not self.skip:
-            self.out.append(f"&{name};")
 
-    def handle_charref(self, name: str) -> None:
-        if not self.skip:
-            self.out.append(f"&#{name};")
+def _numbered(names: Sequence[str], pattern: str) -> list[str]:
+    """The entries whose name matches, in the order of their number."""
+    found = [(int(m[1]), n) for n in names if (m := re.fullmatch(pattern, n))]
+    return [n for _, n in sorted(found)]
 
 
-def sanitised_html(text: str) -> str:
-    """Markup without scripts, styles, attributes and unsafe links."""
-    parser = _Safe()
-    parser.feed(text)
-    parser.close()
-    return "".join(parser.out)
+def _paragraphs(root: ET.Element, blocks: Sequence[str], texts: Sequence[str]) -> list[str]:
+    """The text of each outermost element named in ``blocks``: of its elements in ``texts``, or of all where none are named."""
+    out: list[str] = []
+
+    def text_of(node: ET.Element) -> str:
+        if texts:
+            return "".join("\t" if _local(x.tag) == "tab" else "\n" if _local(x.tag) in ("br", "line-break") else x.text or "" for x in node.iter() if _local(x.tag) in (*texts, "tab", "br", "line-break"))
+        return "".join(node.itertext())
+
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if _local(node.tag) in blocks:
+            if (found := text_of(node).strip()) != "":
+                out.append(found)
+        else:
+            stack += reversed(node)
+    return out
+
+
+def _package_title(package: zipfile.ZipFile) -> str:
+    for name in ("docProps/core.xml", "meta.xml"):
+        if name in package.namelist():
+            found = [x.text for x in ET.fromstring(package.read(name)).iter() if _local(x.tag) == "title" and x.text]
+            return found[0].strip() if found else ""
+    return ""
+
+
+def read_word(data: bytes) -> tuple:
+    """Paragraphs of a word-processing package, tables included, with the title of its properties."""
+    package = _entries(data)
+    lines = _paragraphs(ET.fromstring(package.read("word/document.xml")), ("p",), ("t",))
+    return result("extracted" if lines else "empty", _package_title(package), "\n".join(lines), paragraphs=len(lines))
+
+
+def read_slides(data: bytes) -> tuple:
+    """The text of each slide in order, under its number."""
+    package = _entries(data)
+    names = _numbered(package.namelist(), r"ppt/slides/slide(\d+)\.xml")
+    slides = ["\n".join([f"Slide {i}", *_paragraphs(ET.fromstring(package.read(n)), ("p",), ("t",))]) for i, n in enumerate(names, 1)]
+    return result("extracted" if slides else "empty", _package_title(package), "\n\n".join(slides), slides=len(slides))
+
+
+def _column(reference: str) -> int:
+    """0 for A, 26 for AA."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
+def _sampled_sheets(sheets: list[tuple[str, Iterator[list[str]]]]) -> tuple:
+    """Columns, first rows and exact counts: the first filled row of a sheet names its columns, empty rows count nowhere."""
+    columns: list[str] = []
+    sample, total = [], 0
+    for name, rows in sheets:
+        head: list[str] | None = None
+        for row in rows:
+            if not any(row):
+                continue
+            if head is None:
+                head = [v or f"column_{i + 1}" for i, v in enumerate(row)]
+                columns = columns or head
+                continue
+            total += 1
+            if len(sample) < SAMPLE:
+                sample.append(f"{name}: " + " | ".join(f"{h}={v}" for h, v in zip(head, row, strict=False) if v))
+    lines = ["Columns: " + ", ".join(columns), *sample]
+    return result("sampled" if columns else "empty", text="\n".join(lines), rows=total, columns=len(columns), sheets=[n for n, _ in sheets], truncated=total > len(sample))
+
+
+def read_workbook(data: bytes) -> tuple:
+    """Columns, sample and row count of a spreadsheet package; formulas show their stored value."""
+    package = _entries(data)
+    known = package.namelist()
+    shared = ["".join(x.text or "" for x in item.iter() if _local(x.tag) == "t") for item in ET.fromstring(package.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in known else []
+    titles = [x.get("name") or "" for x in ET.fromstring(package.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"] if "xl/workbook.xml" in known else []
+
+    def rows(entry: str) -> Iterator[list[str]]:
+        for _, node in ET.iterparse(package.open(entry)):
+            if _local(node.tag) != "row":
+                continue
+            values: list[str] = []
+            for cell in node:
+                at = _column(cell.get("r") or "") if cell.get("r") else len(values)
+                raw = "".join(x.text or "" for x in cell.iter() if _local(x.tag) in ("v", "t"))
+                values += [""] * (at + 1 - len(values))
+                values[at] = shared[int(raw)] if cell.get("t") == "s" and raw.isdigit() and int(raw) < len(shared) else raw
+            yield values
+            node.clear()
+
+    entries = _numbered(known, r"xl/worksheets/sheet(\d+)\.xml")
+    return _sampled_sheets([(titles[i] if i < len(titles) else f"sheet{i + 1}", rows(n)) for i, n in enumerate(entries)])
+
+
+def read_open_document(data: bytes) -> tuple:
+    """Text, slides or sheets of an open-document package."""
+    package = _entries(data)
+    root = ET.fromstring(package.read("content.xml"))
+    tables = [x for x in root.iter() if _local(x.tag) == "table"]
+    if any(_local(x.tag) == "spreadsheet" for x in root.iter()):
+
+        def rows(sheet: ET.Element) -> Iterator[list[str]]:
+            for row in (x for x in sheet.iter() if _local(x.tag) == "table-row"):
+                yield ["\n".join("".join(p.itertext()) for p in cell if _local(p.tag) == "p") for cell in row if _local(cell.tag) == "table-cell"]
+
+        name = lambda x: next((v for k, v in x.attrib.items() if _local(k) == "name"), "")
+        return _sampled_sheets([(name(x), rows(x)) for x in tables])
+    lines = _paragraphs(root, ("p", "h"), ())
+    return result("extracted" if lines else "empty", _package_title(package), "\n".join(lines), paragraphs=len(lines))
+
+
+def read_epub(data: bytes) -> tuple:
+    """The chapters of a publication in the order of its spine."""
+    package = _entries(data)
+    place = next(x.get("full-path") for x in ET.fromstring(package.read("META-INF/container.xml")).iter() if _local(x.tag) == "rootfile")
+    root = ET.fromstring(package.read(place))
+    base = place.rpartition("/")[0]
+    hrefs = {x.get("id"): x.get("href") for x in root.iter() if _local(x.tag) == "item"}
+    order = [hrefs.get(x.get("idref")) for x in root.iter() if _local(x.tag) == "itemref"]
+    titles = [x.text for x in root.iter() if _local(x.tag) == "title" and x.text]
+    chapters = [readable_html(decode(package.read(f"{base}/{h}" if base else h)))[1] for h in order if h and (f"{base}/{h}" if base else h) in package.namelist()]
+    return result("extracted" if any(chapters) else "empty", titles[0].strip() if titles else "", "\n\n".join(c for c in chapters if c), chapters=len(chapters))
+
+
+def read_fiction_book(data: bytes) -> tuple:
+    root = ET.fromstring(data)
+    titles = [x.text for x in root.iter() if _local(x.tag) == "book-title" and x.text]
+    bodies = [x for x in root if _local(x.tag) == "body"]
+    lines = [line for b in bodies for line in _paragraphs(b, ("p", "v"), ())]
+    return result("extracted" if lines else "empty", titles[0].strip() if titles else "", "\n".join(lines), paragraphs=len(lines))
+
+
+_RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?\??|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)")
+#: Groups that hold no text of the document.
+_RTF_ASIDE = frozenset("fonttbl colortbl stylesheet info pict header footer generator themedata listtable rsidtbl".split())
+
+
+def read_rich_text(data: bytes) -> tuple:
+    """The text of an RTF file without its tables of fonts, colours and styles."""
+    if not data.startswith(b"{\\rtf"):
+        return result("invalid")
+    out: list[str] = []
+    aside = [False]
+    for m in _RTF.finditer(data.decode("latin-1")):
+        byte, code, word, _, sign, brace, plain = m.groups()
+        if brace == "{":
+            aside.append(aside[-1])
+        elif brace == "}":
+            if len(aside) > 1:
+                aside.pop()
+        elif sign == "*" or word in _RTF_ASIDE:
+            aside[-1] = True
+        elif not aside[-1]:
+            if byte:
+                out.append(bytes([int(byte, 16)]).decode("cp1252", "replace"))
+            elif code:
+                out.append(chr(int(code) % 65536))
+            elif word in ("par", "line"):
+                out.append("\n")
+            elif word == "tab":
+                out.append("\t")
+            elif sign in ("{", "}", "\\", "~"):
+                out.append(" " if sign == "~" else sign)
+            elif plain:
+                out.append(plain)
+    text = "\n".join(" ".join(line.split()) for line in "".join(out).split("\n")).strip()
+    return result("extracted" if text else "empty", text=text)
+
+
+_PDF_STREAM = re.compile(rb"<<(?P<head>(?:[^<>]|<[^<>]*>|<<(?:[^<>]|<[^<>]*>|<<[^<>]*>>)*>>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\nendstream", re.S)
+_PDF_SHOWN = re.compile(rb"\((?P<text>(?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)|(?P<gap>-?\d+(?:\.\d+)?)(?=[\s(\]<])|(?P<line>T\*|Td|TD|Tm|ET|'|\")(?![\w*])", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\n", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _pdf_string(raw: bytes) -> str:
+    plain = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1] in b"01234567" else b"" if m[1][-1:] == b"\n" else _PDF_ESCAPES.get(m[1], m[1]), raw, flags=re.S)
+    return plain.decode("utf-16" if plain.startswith((b"\xfe\xff", b"\xff\xfe")) else "cp1252", "replace")
+
+
+def read_pdf(data: bytes) -> tuple:
+    """Text that pages show through simple fonts, from plain or deflated streams.
+
+    Pages whose fonts number their glyphs freely, and encrypted files, show nothing readable;
+    they give metadata_only with the number of pages rather than wrong characters.
+    """
+    if not data.startswith(b"%PDF"):
+        return result("invalid")
+    pages = len(re.findall(rb"/Type\s*/Page\b", data))
+    lines: list[str] = []
+    for m in _PDF_STREAM.finditer(data) if b"/Encrypt" not in data else ():
+        body = m["body"]
+        if b"/Subtype" in m["head"] and b"/Image" in m["head"]:
+            continue
+        if b"FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m["head"]:
+            continue
+        for block in re.findall(rb"(?<!\w)BT(?!\w)(.*?(?<!\w)ET)(?!\w)", body, re.S):
+            line = ""
+            for shown in _PDF_SHOWN.finditer(block):
+                if shown["text"] is not None:
+                    line += _pdf_string(shown["text"])
+                elif shown["gap"] is not None:
+                    line += " " if float(shown["gap"]) < -200 and line and not line.endswith(" ") else ""
+                elif line.strip():
+                    lines.append(" ".join(line.split()))
+                    line = ""
+    text = "\n".join(lines)
+    legible = sum(c.isprintable() or c == "\n" for c in text) >= 0.9 * len(text)
+    return result("extracted", text=text, pages=pages) if text and legible else result("metadata_only", pages=pages)
+
+
+def read_diagram(data: bytes) -> tuple:
+    """Labels of a drawing: texts and titles of SVG, values of draw.io cells."""
+    root = ET.fromstring(data)
+    lines = [" ".join("".join(x.itertext()).split()) for x in root.iter() if _local(x.tag) in ("text", "title", "desc")]
+    lines += [readable_html(x.get("value") or x.get("label"))[1] for x in root.iter() if x.get("value") or x.get("label")]
+    lines = [x for x in lines if x]
+    return result("extracted" if lines else "metadata_only", text="\n".join(lines), labels=len(lines))
 
 
 def safe_member(name: str) -> bool:
@@ -337,9 +591,12 @@ def safe_member(name: str) -> bool:
     return bool(name) and not name.startswith(("/", "\\")) and ".." not in parts and not re.match(r"[A-Za-z]:", name)
 
 
-def members(data: bytes) -> list[tuple[str, str, bytes | None]]:
-    """Name, status and content of the members of a zip or tar file, within the caps; one level deep."""
-    out: list[tuple[str, str, bytes | None]] = []
+def members(data: bytes, most: int | None = None, most_bytes: int | None = None, most_total: int | None = None) -> Iterator[tuple[str, str, bytes | None]]:
+    """Name, status and content of the members of a zip or tar file, one level deep.
+
+    A bound on their number, size or total size is an argument; what lies beyond it gives a
+    status row.
+    """
     total = 0
     try:
         if zipfile.is_zipfile(io.BytesIO(data)):
@@ -349,21 +606,23 @@ def members(data: bytes) -> list[tuple[str, str, bytes | None]]:
             packed = tarfile.open(fileobj=io.BytesIO(data))
             entries = [(m.name, m.size, lambda m=m: packed.extractfile(m).read()) for m in packed if m.isfile()]
     except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as problem:
-        return [("", f"invalid: {type(problem).__name__}", None)]
+        yield "", f"invalid: {type(problem).__name__}", None
+        return
     for number, (name, size, read) in enumerate(entries):
-        if number >= MAX_MEMBERS:
-            out.append((name, "over_member_cap", None))
+        if most is not None and number >= most:
+            yield name, "over_member_cap", None
         elif not safe_member(name):
-            out.append((name, "unsafe_name", None))
-        elif size > MAX_MEMBER_BYTES or total + size > MAX_TOTAL_BYTES:
-            out.append((name, "over_size_cap", None))
+            yield name, "unsafe_name", None
+        elif most_bytes is not None and size > most_bytes or most_total is not None and total + size > most_total:
+            yield name, "over_size_cap", None
         else:
             try:
-                out.append((name, "extracted", read()))
-                total += size
+                content = read()
             except (RuntimeError, zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as problem:
-                out.append((name, f"invalid: {type(problem).__name__}", None))
-    return out
+                yield name, f"invalid: {type(problem).__name__}", None
+                continue
+            total += size
+            yield name, "extracted", content
 
 
 READERS: dict[str, Callable[[bytes], tuple]] = {
@@ -371,12 +630,24 @@ READERS: dict[str, Callable[[bytes], tuple]] = {
     ".jsonl": read_json_lines, ".ndjson": read_json_lines, ".json": read_json, ".srt": read_subtitle, ".vtt": read_subtitle, ".ass": read_subtitle,
     ".eml": read_mail, ".mbox": read_mail, ".ics": read_calendar, ".vcf": read_calendar, ".sarif": read_report, ".har": read_report, ".trx": read_report, ".tap": read_report, ".lcov": read_report, ".xml": read_report,
     ".sqlite": read_database, ".sqlite3": read_database, ".db": read_database, ".html": read_html, ".htm": read_html,
+    **dict.fromkeys((".docx", ".docm", ".dotx"), read_word), **dict.fromkeys((".pptx", ".pptm", ".ppsx", ".potx"), read_slides), **dict.fromkeys((".xlsx", ".xlsm", ".xltx"), read_workbook),
+    **dict.fromkeys((".odt", ".odp", ".ods", ".ott", ".otp", ".ots"), read_open_document), ".epub": read_epub, ".fb2": read_fiction_book, ".rtf": read_rich_text, ".pdf": read_pdf, ".svg": read_diagram, ".drawio": read_diagram,
 }
 
 
+#: How keys and certificates begin.
+PRIVATE = re.compile(rb"\s*(?:-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE|MESSAGE)[A-Z ]*-----|PuTTY-User-Key-File|age-encryption\.org/|AGE-SECRET-KEY-)")
+
+
 def extract(files: DataFrame, readers: dict[str, Callable[[bytes], tuple]] | None = None) -> DataFrame:
-    """Documents from (path, content). Unknown types that are valid text are read as text, others get the status metadata_only."""
+    """Documents from (path, content). Unknown types that are valid text are read as text, others get the status metadata_only.
+
+    Keys, certificates and password stores are never decoded, whatever ``readers`` says, and
+    neither is any file that begins like one of them.
+    """
     chosen = READERS if readers is None else readers
+    sensitive = frozenset(P.KINDS["sensitive_metadata"].split())
+    listed = frozenset(" ".join(P.KINDS[k] for k in ("geospatial", "cad", "scientific")).split())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -386,7 +657,11 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes], tuple]] | Non
                 ending = "." + path.rpartition(".")[2].lower()
                 reader = chosen.get(ending)
                 try:
-                    if reader is not None:
+                    if ending in sensitive or PRIVATE.match(data):
+                        found = result("metadata_only", kind="sensitive_metadata")
+                    elif reader is None and ending in listed:
+                        found = result("metadata_only")
+                    elif reader is not None:
                         found = reader(data)
                     elif b"\x00" in data[:4096] and not data.startswith((b"\xff\xfe", b"\xfe\xff")):
                         found = result("metadata_only")
@@ -400,14 +675,38 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes], tuple]] | Non
     return files.select("path", "content").mapInPandas(read, DOCUMENT)
 
 
-def expand(files: DataFrame) -> DataFrame:
-    """path, member, status and content of the members of container files."""
+def mail_messages(files: DataFrame) -> DataFrame:
+    """path, number (from 1), subject, sender, text and attachments (their number) of every message of mail files."""
+    columns = ["path", "number", "subject", "sender", "text", "attachments"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows = []
+                for number, message in enumerate(_messages(bytes(content) if content is not None else b""), 1):
+                    attached = sum(p.get_content_disposition() == "attachment" for p in message.walk())
+                    rows.append((path, number, _header(message, "Subject"), _header(message, "From"), _mail_text(message).replace("\x00", ""), attached))
+                    if len(rows) >= 1000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    return files.select("path", "content").mapInPandas(read, "path string, number int, subject string, sender string, text string, attachments int")
+
+
+def settled(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The files of the later of two scans that did not change between them; files still being written wait for the next scan."""
+    seen = before.select("path", F.col("size").alias("_s"), F.col("mtime_ns").alias("_t"))
+    return after.join(seen, "path").where((F.col("_s") == F.col("size")) & (F.col("_t") == F.col("mtime_ns"))).drop("_s", "_t")
+
+
+def expand(files: DataFrame, most: int | None = None, most_bytes: int | None = None, most_total: int | None = None) -> DataFrame:
+    """path, member, status and content of the members of container files, all of them unless an argument bounds them."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, name, status, data) for name, status, data in members(bytes(content) if content is not None else b"")]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "member", "status", "content"])
+                for name, status, data in members(bytes(content) if content is not None else b"", most, most_bytes, most_total):
+                    yield pd.DataFrame([(path, name, status, data)], columns=["path", "member", "status", "content"])
 
     return files.select("path", "content").mapInPandas(unpack, "path string, member string, status string, content binary")

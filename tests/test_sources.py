@@ -28,7 +28,7 @@ def test_readers(tmp_path):
     with sqlite3.connect(path) as c:
         c.execute("create table t (a int, b text)")
     assert S.read_database(path.read_bytes())[2] == "t: a, b" and S.read_database(b"no")[0] == "invalid"
-    assert S.read_html(b"<title>T</title><script>x</script><p>a</p>b")[1:3] == ("T", "a b")
+    assert S.read_html(b"<title>T</title><script>x</script><p>a</p>b")[1:3] == ("T", "a\nb")
     assert S.sanitised_html('<a href="javascript:x" onclick="y">l</a><a href="https://e.example/?a=1&b=2">m</a><script>z</script>') == '<a>l</a><a href="https://e.example/?a=1&amp;b=2" rel="noopener">m</a>'
 
 
@@ -37,14 +37,16 @@ def test_containers():
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("a.txt", "x")
         z.writestr("../evil.txt", "y")
+    assert [(n, s) for n, s, _ in S.members(buffer.getvalue(), most=1)] == [("a.txt", "extracted"), ("../evil.txt", "over_member_cap")]
+    assert [s for _, s, _ in S.members(buffer.getvalue(), most_bytes=0)] == ["over_size_cap", "unsafe_name"]
     assert [(n, s) for n, s, _ in S.members(buffer.getvalue())] == [("a.txt", "extracted"), ("../evil.txt", "unsafe_name")]
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w") as t:
         info = tarfile.TarInfo("b.txt")
         info.size = 1
         t.addfile(info, io.BytesIO(b"z"))
-    assert S.members(buffer.getvalue()) == [("b.txt", "extracted", b"z")]
-    assert S.members(b"junk")[0][1].startswith("invalid")
+    assert list(S.members(buffer.getvalue())) == [("b.txt", "extracted", b"z")]
+    assert next(S.members(b"junk"))[1].startswith("invalid")
 
 
 def test_scan_and_extract(spark, tmp_path):
@@ -83,3 +85,76 @@ def test_stores(spark, tmp_path):
     assert receipts.select("sha256").distinct().count() == 2 and spark.read.parquet(str(tmp_path / "cas")).count() == 2
     W.export_pages(rows.withColumnRenamed("id", "title"), str(tmp_path / "wiki"), "title", "text")
     assert (tmp_path / "wiki" / "slug=a").is_dir()
+
+
+def zipped(**entries):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, text in entries.items():
+            z.writestr(name.replace("__", "/").replace("_x", ".x"), text)
+    return buffer.getvalue()
+
+
+def test_keys_are_never_decoded(spark):
+    secret = b"-----BEGIN PRIVATE KEY-----\nc2VjcmV0\n-----END PRIVATE KEY-----\n"
+    rows = [("a/x.pem", secret), ("a/x.KEY", b"plain"), ("a/id_rsa", secret), ("a/x.txt", b"  \n" + secret), ("a/x.p12", b"\x30"), ("a/y.txt", b"BEGIN of a note"), ("a/x.dwg", b"AC10"), ("a/none.pem", None)]
+    got = {r["path"]: (r["status"], r["text"]) for r in S.extract(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert {k: v for k, v in got.items() if k != "a/y.txt"} == {p: ("metadata_only", "") for p, _ in rows if p != "a/y.txt"}
+    assert got["a/y.txt"] == ("extracted", "BEGIN of a note")
+
+
+def test_every_mail_and_block_is_read(spark):
+    box = b"".join(b"From x\nSubject: m%d\nFrom: a%d@b.example\n\nbody %d\n\n" % (i, i, i) for i in range(51))
+    assert json.loads(S.read_mail(box)[3])["messages"] == 51 and "body 50" in S.read_mail(box)[2]
+    rows = S.mail_messages(spark.createDataFrame([("in.mbox", box), ("one.eml", b"Subject: s\n\nt"), ("none.eml", None)], "path string, content binary")).collect()
+    assert len(rows) == 52 and [(r["number"], r["subject"], r["sender"], r["text"]) for r in rows if r["path"] == "in.mbox"][50] == (51, "m50", "a50@b.example", "body 50")
+    assert S.read_calendar(b"".join(b"BEGIN:VEVENT\nSUMMARY:e%d\nEND:VEVENT\n" % i for i in range(60)))[2].count("Summary") == 60
+    assert S.read_report("\n".join(f"not ok {i} x" for i in range(1, 71)).encode())[2].count("not ok") == 70
+
+
+def test_markup_by_blocks():
+    page = "<html><head><title>A <b>B</b></title><style>x{}</style></head><body><h1>Top</h1><p>one <i>two</i>\n three<br>four<ul><li>a<li>b</ul><svg><title>no</title></svg><noscript>no</noscript>end &amp; all</body>"
+    assert S.readable_html(page) == ("A B", "Top\none two three\nfour\na\nb\nend & all")
+    assert S.readable_html("</p>x<script>y") == ("", "x") and S.readable_html("") == ("", "")
+    assert S.sanitised_html("<p onclick=x>a &lt;b&gt;<object><p>no</p></object><iframe src=x></iframe>c</p>") == "<p>a &lt;b&gt;c</p>"
+
+
+def test_office_packages():
+    core = "<c xmlns:dc='d'><dc:title>Plan</dc:title></c>"
+    word = zipped(word__document_xml="<w:d xmlns:w='w'><w:body><w:p><w:r><w:t>One </w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/></w:body></w:d>", docProps__core_xml=core)
+    assert S.read_word(word) == ("extracted", "Plan", "One \ttwo\ncell", '{"paragraphs": 2}')
+    slides = zipped(**{f"ppt__slides__slide{n}_xml": f"<p:s xmlns:p='p' xmlns:a='a'><a:p><a:r><a:t>text {n}</a:t></a:r></a:p></p:s>" for n in (10, 2, 1)})
+    assert S.read_slides(slides)[2] == "Slide 1\ntext 1\n\nSlide 2\ntext 2\n\nSlide 3\ntext 10"
+    rows = "".join(f"<row><c r='A{i}'><v>{i}</v></c><c r='C{i}' t='s'><v>1</v></c></row>" for i in range(2, 20))
+    book = zipped(xl__workbook_xml="<w><sheets><sheet name='Sums'/></sheets></w>", xl__sharedStrings_xml="<s><si><t>n</t></si><si><r><t>na</t></r><r><t>me</t></r></si></s>", xl__worksheets__sheet1_xml=f"<w><sheetData><row/><row><c r='A1' t='s'><v>0</v></c><c r='B1' t='inlineStr'><is><t>x</t></is></c><c r='C1' t='s'><v>1</v></c></row>{rows}</sheetData></w>")
+    status, _, text, counts = S.read_workbook(book)
+    assert status == "sampled" and json.loads(counts) == {"columns": 3, "rows": 18, "sheets": ["Sums"], "truncated": True}
+    assert text.split("\n")[:2] == ["Columns: n, x, name", "Sums: n=2 | name=name"] and text.count("\n") == S.SAMPLE
+    odt = zipped(content_xml="<o:d xmlns:o='o' xmlns:t='t'><o:text><t:h>Head</t:h><t:p>a <t:span>b</t:span></t:p></o:text></o:d>")
+    assert S.read_open_document(odt)[2] == "Head\na b"
+    epub = zipped(**{"META-INF__container_xml": "<c><rootfile full-path='o/b.opf'/></c>"}) and io.BytesIO()
+    with zipfile.ZipFile(epub, "w") as z:
+        z.writestr("META-INF/container.xml", "<c><rootfile full-path='o/b.opf'/></c>")
+        z.writestr("o/b.opf", "<p xmlns:dc='d'><dc:title>Tale</dc:title><item id='1' href='one.html'/><item id='2' href='two.html'/><itemref idref='2'/><itemref idref='1'/></p>")
+        z.writestr("o/one.html", "<p>first</p>")
+        z.writestr("o/two.html", "<p>second</p>")
+    assert S.read_epub(epub.getvalue())[1:3] == ("Tale", "second\n\nfirst")
+    assert S.read_fiction_book(b"<f><d><book-title>T</book-title></d><body><p>a</p><section><p>b</p></section></body></f>")[1:3] == ("T", "a\nb")
+    assert S.read_rich_text(b"{\\rtf1{\\fonttbl{\\f0 Arial;}}Caf\\'e9 \\b bold\\b0\\par next \\{x\\}}")[2] == "Caf\u00e9 bold\nnext {x}"
+    assert S.read_diagram(b"<svg><title>T</title><text>a <tspan>b</tspan></text></svg>")[2] == "T\na b"
+
+
+def test_pdf():
+    import zlib
+
+    shown = zlib.compress(rb"BT /F1 12 Tf 72 700 Td (Hello \(all\)) Tj 0 -14 Td [(Wor) 20 (ld) -300 (two)] TJ ET")
+    data = b"%PDF-1.4\n1 0 obj <</Type /Page /R <</a 1>> >> endobj\n2 0 obj <</Length " + str(len(shown)).encode() + b" /Filter /FlateDecode>>\nstream\n" + shown + b"\nendstream endobj"
+    assert S.read_pdf(data) == ("extracted", "", "Hello (all)\nWorld two", '{"pages": 1}')
+    assert S.read_pdf(b"%PDF-1.4\n1 0 obj <</Type /Page>>") == ("metadata_only", "", "", '{"pages": 1}') and S.read_pdf(b"x")[0] == "invalid"
+
+
+def test_files_still_written_wait(spark):
+    seen = "path string, size long, mtime_ns long"
+    before = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("gone", 1, 1)], seen)
+    after = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("new", 1, 1)], seen)
+    assert [r["path"] for r in S.settled(before, after).collect()] == ["a"]
