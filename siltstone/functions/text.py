@@ -103,10 +103,15 @@ def short_snippet(clean: Column | str, width: int = 280) -> Column:
     return F.when(F.length(clean) <= width, clean).otherwise(F.concat(F.substring(clean, 1, width), F.lit("…")))
 
 
+#: The forms of secrets.
+API_KEY = r"\bsk-[A-Za-z0-9_-]{20,}\b"
+PASSWORD = r"""(?i)\b(password|passwd|pwd)(\s*[:=]\s*)([^\s;,'"]+)"""
+
+
 def redact_secrets(c: Column | str) -> Column:
-    """API keys and password assignments become markers; applying it twice changes nothing more."""
-    keys = F.regexp_replace(col(c), r"\bsk-[A-Za-z0-9_-]{8,}", "[REDACTED:api_key]")
-    return F.regexp_replace(keys, r"(?i)\b(password|passwd|pwd)(\s*[:=]\s*)(?!\[REDACTED:)\S+", "$1$2[REDACTED:password]")
+    """API keys and the values of password assignments become markers; applying it twice changes nothing more."""
+    keys = F.regexp_replace(col(c), API_KEY, "[REDACTED:openai_api_key]")
+    return F.regexp_replace(keys, PASSWORD, "$1$2[REDACTED:password_assignment]")
 
 
 def redact_emails(c: Column | str) -> Column:

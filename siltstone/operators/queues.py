@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +29,28 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version:
 def accepted(events: DataFrame, by: Sequence[str], at: Column, key: str, quiet: int) -> DataFrame:
     """Debounce: an event is taken unless one of its key was taken less than ``quiet`` seconds before.
 
-    The decision depends on the last taken event, so each key's times are folded in order; a key's
-    list holds two numbers per event. For one key with unbounded history use the streaming form,
-    whose state is a single time.
+    An event at least ``quiet`` after the one before it is taken whatever was taken earlier, so a
+    key falls into runs that do not depend on each other; runs are spread over the tasks and
+    pass them in order, with the last time taken as the only state. Events without a time are
+    never taken; equal times are settled by ``key``.
     """
-    listed = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(key).alias("k")))).alias("xs"))
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("last"), F.array().cast(f"array<{events.schema[key].dataType.simpleString()}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = x["t"] - acc["last"] >= quiet
-        return F.struct(F.when(take, x["t"]).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["out"], F.array(x["k"]))).otherwise(acc["out"]).alias("out"))
-
-    return listed.select(*by, F.explode(F.aggregate("xs", start, step)["out"]).alias(key))
+    timed = events.select(*by, at.cast("long").alias("_t"), key).where("_t IS NOT NULL")
+    order = Window.partitionBy(*by).orderBy("_t", key)
+    fresh = F.coalesce(F.col("_t") - F.lag("_t").over(order) >= quiet, F.lit(True))
+    runs = timed.withColumn("_r", F.sum(fresh.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in (*by, key))
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, 0
+        for batch in batches:
+            kept = []
+            for i, (*name, t) in enumerate(zip(*(batch[c] for c in (*by, "_r", "_t")), strict=True)):
+                if name != group or t - last >= quiet:
+                    group, last = name, t
+                    kept.append(i)
+            yield batch.iloc[kept][[*by, key]]
+
+    return runs.repartition(*by, "_r").sortWithinPartitions(*by, "_r", "_t", key).mapInPandas(take, schema)
 
 
 def revisions(events: DataFrame, by: Sequence[str], order: Sequence[Column], content: Column) -> DataFrame:

@@ -126,12 +126,12 @@ def trigram_search(names: DataFrame, queries: DataFrame, key: str, name: str, qu
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, key: str = "doc_id", stream: str = "stream", rank: str = "rank", k: int = RRF_K, by: Sequence[str] = ()) -> DataFrame:
-    """key, score (the sum over streams of 1/(k+rank)) and the sorted streams; a repeated row of a stream counts once."""
+    """key, score (the sum over streams of 1/(k+rank)), the sorted streams and their ranks; a repeated row of a stream counts once."""
     once = ranked.groupBy(*by, key, stream).agg(F.min(rank).alias(rank))
     parts = F.array_sort(F.collect_list(F.struct(F.col(stream).alias("s"), F.col(rank).alias("r"))))
     fused = once.groupBy(*by, key).agg(parts.alias("p"))
     score = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + F.lit(1.0) / (F.lit(float(k)) + x["r"]))
-    return fused.select(*by, key, score.alias("score"), F.transform("p", lambda x: x["s"]).alias("streams"))
+    return fused.select(*by, key, score.alias("score"), F.transform("p", lambda x: x["s"]).alias("streams"), F.transform("p", lambda x: x["r"]).alias("ranks"))
 
 
 def with_margin(ranked: DataFrame, by: Sequence[str], key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -146,25 +146,28 @@ def keep_best(frame: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return frame.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n")
 
 
-def pack(candidates: DataFrame, budget: int, by: Sequence[str] = (), key: str = "doc_id", title: str = "title", body: str = "body", score: str = "score") -> DataFrame:
+def pack(candidates: DataFrame, budget: int, by: Sequence[str] = (), key: str = "doc_id", title: str = "title", body: str = "body", score: str = "score", carry: Sequence[str] = ()) -> DataFrame:
     """Greedy packing into a token budget: by score, then title and key, a block is taken if it still fits, else excluded as over_budget.
 
-    The list that is folded is one query's result page, which its caller bounds.
+    The list that is folded is one query's result page, which its caller bounds; columns named in
+    ``carry`` are kept beside each result.
     """
     block = F.concat(F.lit("### "), F.coalesce(title, F.lit("")), F.lit("\n"), X.strip(F.coalesce(body, F.lit(""))))
-    item = F.struct((-F.col(score)).alias("o"), F.col(title).alias("t"), F.col(key).alias("k"), X.token_estimate(block).alias("c"))
+    item = F.struct((-F.col(score)).alias("o"), F.col(title).alias("t"), F.col(key).alias("k"), X.token_estimate(block).alias("c"), F.struct(*carry, F.lit(0).alias("_")).alias("m"))
     listed = candidates.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<struct<k:{candidates.schema[key].dataType.simpleString()},c:int,status:string>>").alias("out"))
+    kept = ",".join(f"{c}:{candidates.schema[c].dataType.simpleString()}" for c in carry)
+    empty = f"array<struct<k:{candidates.schema[key].dataType.simpleString()},c:int,status:string,m:struct<{kept}{',' if kept else ''}_:int>>>"
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(empty).alias("out"))
 
     def take(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["c"] <= budget
         return F.struct(
             F.when(fits, acc["used"] + x["c"]).otherwise(acc["used"]).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), x["c"].alias("c"), F.when(fits, "packed").otherwise("over_budget").alias("status")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), x["c"].alias("c"), F.when(fits, "packed").otherwise("over_budget").alias("status"), x["m"].alias("m")))).alias("out"),
         )
 
     folded = listed.select(*by, F.aggregate("items", start, take)["out"].alias("out"))
-    return folded.select(*by, F.posexplode("out").alias("position", "x")).select(*by, "position", F.col("x.k").alias(key), F.col("x.c").alias("tokens"), F.col("x.status").alias("status"))
+    return folded.select(*by, F.posexplode("out").alias("position", "x")).select(*by, "position", F.col("x.k").alias(key), F.col("x.c").alias("tokens"), F.col("x.status").alias("status"), *[F.col(f"x.m.{c}").alias(c) for c in carry])
 
 
 def collapse_versions(results: DataFrame, family: Column, key: str, trust: str, score: str, path: str) -> DataFrame:

@@ -82,10 +82,16 @@ def representative_pairs(vectors: DataFrame, threshold: float, key: str = "vec_i
     counts = reps.groupBy(block).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / TILE)).cast("int").alias("tiles"))
     # a tile is a slice of the projections' range; within a slice that is still too full, rows are dealt out by hash
     sized = placed.join(counts, block).withColumn("t", F.struct(F.floor((F.col("p") + 1) * 8).alias("slice"), F.pmod(F.xxhash64("k"), F.col("tiles")).alias("deal")))
-    tiles = sized.groupBy(block, "t").agg(F.collect_list(F.struct("k", "_v")).alias("rows"), F.min("p").alias("low"), F.max("p").alias("high"))
-    a = tiles.select(block, F.col("t").alias("ta"), F.col("rows").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = tiles.select(block, F.col("t").alias("tb"), F.col("rows").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    met = a.join(b, block).where("ta <= tb").where((F.col("lb") - F.col("ha") <= reach) & (F.col("la") - F.col("hb") <= reach))
+    tiles = cut_lineage(sized.groupBy(block, "t").agg(F.collect_list(F.struct("k", "_v")).alias("rows"), F.min("p").alias("low"), F.max("p").alias("high")))
+    # tiles meet by their names first, slice by slice, and fetch their rows afterwards, so that a large block is as many tasks as it has pairs of tiles
+    names = tiles.select(block, "t", "low", "high")
+    slices = F.sequence(F.floor((F.col("low") - reach + 1) * 8), F.floor((F.col("high") + reach + 1) * 8))
+    a = names.select(F.col(block).alias("_b"), F.col("t").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(slices).alias("slice"))
+    b = names.select(F.col(block).alias("_b"), F.col("t").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("t.slice").alias("slice"))
+    pairs = a.join(b, ["_b", "slice"]).where("ta <= tb").where((F.col("lb") - F.col("ha") <= reach) & (F.col("la") - F.col("hb") <= reach)).select("_b", "ta", "tb")
+    left = tiles.select(F.col(block).alias("_b"), F.col("t").alias("ta"), F.col("rows").alias("ra"))
+    right = tiles.select(F.col(block).alias("_b"), F.col("t").alias("tb"), F.col("rows").alias("rb"))
+    met = pairs.join(left, ["_b", "ta"]).join(right, ["_b", "tb"])
     kind = vectors.schema[key].dataType.simpleString()
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

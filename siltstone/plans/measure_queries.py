@@ -17,9 +17,9 @@ def events(spark, d):
     return table(spark, d, "events")
 
 
-def calls(spark, d):
-    """Model activity, each event once."""
-    return table(spark, d, "model_activity_events").dropDuplicates(["id"])
+def calls(spark, d, *columns):
+    """Some columns of the model activity, each event once: as it started last, ties by the greatest values."""
+    return latest(table(spark, d, "model_activity_events").select("id", *columns, "started_at"), "id", "started_at")
 
 
 _CALLS = "calls AS (SELECT DISTINCT ON (id) * FROM model_activity_events ORDER BY id)"
@@ -47,13 +47,13 @@ def top_n_per_group(spark, d):
 
 @query(f"WITH {_CALLS} SELECT lower(trim(service)) AS service, count(*) AS n, count(*) FILTER (WHERE status = 'running') AS active, count(*) FILTER (WHERE status = 'failed') AS failures FROM calls GROUP BY 1")
 def breakdown_service(spark, d):
-    return calls(spark, d).groupBy(F.lower(F.trim("service")).alias("service")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "running").alias("active"), F.count_if(F.col("status") == "failed").alias("failures"))
+    return calls(spark, d, "service", "status").groupBy(F.lower(F.trim("service")).alias("service")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "running").alias("active"), F.count_if(F.col("status") == "failed").alias("failures"))
 
 
 @query(f"WITH {_CALLS} SELECT activity_class, count(*) AS n, count(DISTINCT lower(trim(service))) AS services FROM calls WHERE activity_class NOT IN ('health', 'control_plane') GROUP BY 1")
 def breakdown_class(spark, d):
     """Without control-plane traffic."""
-    shown = calls(spark, d).where(~F.col("activity_class").isin("health", "control_plane"))
+    shown = calls(spark, d, "service", "activity_class").where(~F.col("activity_class").isin("health", "control_plane"))
     return shown.groupBy("activity_class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("service"))).alias("services"))
 
 
@@ -62,7 +62,7 @@ def breakdown_class(spark, d):
 WHEN status IN ('pending', 'queued') OR status LIKE 'retrying%' THEN 'pending' ELSE 'completed' END AS status_group, count(*) AS n FROM calls GROUP BY 1"""
 )
 def status_groups(spark, d):
-    return calls(spark, d).groupBy(status_group(F.col("status")).alias("status_group")).agg(F.count(F.lit(1)).alias("n"))
+    return calls(spark, d, "status").groupBy(status_group(F.col("status")).alias("status_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -71,7 +71,7 @@ SELECT 'status' AS facet, status AS value, count(*) AS n FROM calls WHERE activi
 UNION ALL SELECT 'activity_class', activity_class, count(*) FROM calls WHERE status IN ('failed', 'busy') GROUP BY 2"""
 )
 def facets(spark, d):
-    rows = calls(spark, d)
+    rows = calls(spark, d, "status", "activity_class")
     return M.facets(rows, {"status": ["failed", "busy"], "activity_class": ["retrieval", "sidecar"]})
 
 
@@ -131,16 +131,23 @@ def metric_deltas(spark, d):
     return rows.select("event_id", F.round("value_delta", 6).alias("value_delta"))
 
 
-@query("SELECT event_id, round(1 / (value / 1000), 6) AS per_second FROM events WHERE value > 0")
+@query(
+    """WITH r AS (SELECT event_id, user_id, event_type, ts, 1000.0::DOUBLE / value AS v FROM events WHERE value > 0), p AS (SELECT event_id, v, lag(v) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM r)
+SELECT event_id, round(v, 6) AS per_second, round(before, 6) AS previous, round(v - before, 6) AS delta FROM p"""
+)
 def throughput_prev(spark, d):
-    return events(spark, d).where("value > 0").select("event_id", F.round(F.lit(1) / (F.col("value") / 1000), 6).alias("per_second"))
+    """Throughput of each run beside that of the run before of the same group."""
+    runs = events(spark, d).where("value > 0").select("event_id", "user_id", "event_type", "ts", (F.lit(1000.0) / F.col("value")).alias("v"))
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    told = runs.select("event_id", "v", F.lag("v").over(order).alias("before"))
+    return told.select("event_id", F.round("v", 6).alias("per_second"), F.round("before", 6).alias("previous"), F.round(F.col("v") - F.col("before"), 6).alias("delta"))
 
 
 @query(
     f"""WITH {_CALLS} SELECT status AS state, coalesce(nullif(trim(error_class), ''), 'unspecified') AS reason, count(*) AS n FROM calls WHERE status NOT IN ('completed', 'running') GROUP BY 1, 2 ORDER BY n DESC, state, reason LIMIT 20"""
 )
 def reason_top20(spark, d):
-    rows = calls(spark, d).where(~F.col("status").isin("completed", "running"))
+    rows = calls(spark, d, "status", "error_class").where(~F.col("status").isin("completed", "running"))
     return rows.groupBy(F.col("status").alias("state"), F.coalesce(F.nullif(F.trim("error_class"), F.lit("")), F.lit("unspecified")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "state", "reason").limit(20)
 
 
@@ -172,23 +179,6 @@ def asof_previous_signup(spark, d):
     return micros.select("event_id", "event_type", F.max("side").over(before)["event_id"].alias("before")).where("event_type = 'purchase'").select("event_id", "before")
 
 
-_CASES = """
-WITH g AS (SELECT item_id, item_id % 7 AS k FROM eval_items), c AS (SELECT item_id, [k, k + 1, k + 2, k + 3, k + 4] AS observed, [k + (item_id % 3), 99] AS expected FROM g),
-m AS (SELECT item_id, list_min(list_filter([list_position(observed, expected[1]), list_position(observed, 99)], lambda p: p > 0)) AS first, len(list_intersect(observed, expected)) AS hit, len(expected) AS ne FROM c)
-"""
-
-
-@query(
-    _CASES
-    + """SELECT item_id, CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS top1, CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_at_3, round(hit::DOUBLE / ne, 6) AS recall_at_5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr,
-round(coalesce(CASE WHEN first <= 5 THEN 1.0::DOUBLE / log2(first + 1) END, 0), 6) AS ndcg_at_5 FROM m"""
-)
-def ir_metrics(spark, d):
-    k = F.col("item_id") % 7
-    c = table(spark, d, "eval_items").select("item_id", F.array(k, k + 1, k + 2, k + 3, k + 4).alias("observed"), F.array(k + F.col("item_id") % 3, F.lit(99).cast("long")).alias("expected"))
-    return c.select("item_id", *[F.round(v, 6).alias(n) for n, v in M.retrieval_measures(F.col("observed"), F.col("expected")).items()])
-
-
 _SWEEP = """
 WITH p AS (SELECT a.vec_id % 50 = b.vec_id % 50 AS dup, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
 t AS (SELECT CAST(unnest([0.82, 0.86, 0.90]) AS DOUBLE) AS threshold),
@@ -196,25 +186,32 @@ w AS (SELECT threshold, count(*) FILTER (WHERE s >= threshold AND NOT dup) AS fa
 """
 
 
-def _pairs(spark, d):
-    """A small calibration set of judged pairs, as the reference's synthetic suite has one."""
-    from siltstone.functions.vectors import cosine
+THRESHOLDS = (0.82, 0.86, 0.90)
+
+
+def _swept(spark, d):
+    """Pairs close enough for any threshold come from the tiled join; how many there are in all follows from the sizes of the groups."""
+    from siltstone.functions.vectors import norm
+    from siltstone.operators.similarity import cosine_pairs
 
     v = table(spark, d, "embeddings")
-    a = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("ea"))
-    b = v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("eb"))
-    return a.join(b, "label").where("a < b").select((F.col("a") % 50 == F.col("b") % 50).alias("dup"), cosine("ea", "eb").alias("s"))
+    dup = F.col("a") % 50 == F.col("b") % 50
+    close = cosine_pairs(v, min(THRESHOLDS)).select(dup.alias("dup"), F.col("similarity").alias("s"))
+    two = lambda c: F.sum(c * (c - 1) / 2).cast("long")
+    groups = v.where(norm("embedding") > 0).groupBy("label", (F.col("vec_id") % 50).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    same = groups.agg(two(F.col("n"))).first()[0] or 0
+    every = groups.groupBy("label").agg(F.sum("n").alias("n")).agg(two(F.col("n"))).first()[0] or 0
+    return M.sweep_from(close, "s", "dup", (same, every - same), THRESHOLDS)
 
 
 @query(_SWEEP + "SELECT * FROM w")
 def threshold_sweep(spark, d):
-    return M.threshold_sweep(_pairs(spark, d), "s", "dup", [0.82, 0.86, 0.90])
+    return _swept(spark, d)
 
 
 @query(_SWEEP + "SELECT threshold FROM w ORDER BY false_positives + false_negatives, passes DESC, abs(threshold - 0.86) LIMIT 1")
 def threshold_argmin(spark, d):
-    swept = M.threshold_sweep(_pairs(spark, d), "s", "dup", [0.82, 0.86, 0.90])
-    return swept.orderBy(F.col("false_positives") + F.col("false_negatives"), F.desc("passes"), F.abs(F.col("threshold") - 0.86)).limit(1).select("threshold")
+    return _swept(spark, d).orderBy(F.col("false_positives") + F.col("false_negatives"), F.desc("passes"), F.abs(F.col("threshold") - 0.86)).limit(1).select("threshold")
 
 
 @query(
@@ -257,10 +254,9 @@ def keyset_page(spark, d):
 
 @query("SELECT s_suppkey FROM (SELECT s_suppkey, sum(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) - s_acctbal AS before FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 10 <> 0) WHERE before < 20000")
 def lru_eviction(spark, d):
-    """Candidates in order until the deficit is covered; the residents of one device, a bounded set."""
-    idle = table(spark, d, "supplier").where("s_acctbal > 0 and s_suppkey % 10 <> 0")
-    order = Window.orderBy("s_acctbal", "s_suppkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return idle.select("s_suppkey", (F.sum("s_acctbal").over(order) - F.col("s_acctbal")).alias("before")).where("before < 20000").select("s_suppkey")
+    """Candidates in order until the deficit is covered, by a prefix sum over range partitions."""
+    idle = table(spark, d, "supplier").where("s_acctbal > 0 and s_suppkey % 10 <> 0").select("s_suppkey", "s_acctbal")
+    return M.running_total(idle, ["s_acctbal", "s_suppkey"], "s_acctbal").where("before < 20000").select("s_suppkey")
 
 
 # ------------------------------------------------------------------ sets and joins
@@ -272,9 +268,10 @@ def union_sources(spark, d):
     return a.unionByName(events(spark, d).where("event_type = 'error'").select(F.lit("event").alias("kind"), F.col("event_id").alias("id")))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def except_unseen(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
+    """Parts that no large order line names."""
+    return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'")
@@ -289,11 +286,12 @@ def anti_missing_index(spark, d):
     return chunks.join(table(spark, d, "code_symbols").select(F.col("asset_chunk_id").alias("id")), "id", "left_anti")
 
 
-@query("SELECT DISTINCT id, qualified_name FROM code_symbols s WHERE EXISTS (SELECT 1 FROM code_symbols p WHERE p.source_asset_id = s.source_asset_id AND p.parent_symbol = s.name)")
+@query("SELECT DISTINCT id, qualified_name FROM code_symbols s WHERE EXISTS (SELECT 1 FROM asset_chunks c WHERE c.id = s.asset_chunk_id AND c.asset_id = s.source_asset_id)")
 def semi_references(spark, d):
-    s = table(spark, d, "code_symbols")
-    parents = s.select("source_asset_id", F.col("parent_symbol").alias("name"))
-    return s.join(parents, ["source_asset_id", "name"], "left_semi").select("id", "qualified_name").distinct()
+    """Symbols whose chunk exists in the asset they name."""
+    s = table(spark, d, "code_symbols").select("id", "qualified_name", "asset_chunk_id", F.col("source_asset_id").alias("asset_id"))
+    chunks = table(spark, d, "asset_chunks").select(F.col("id").alias("asset_chunk_id"), "asset_id")
+    return s.join(chunks, ["asset_chunk_id", "asset_id"], "left_semi").select("id", "qualified_name").distinct()
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -101,19 +101,6 @@ def event_page(spark, d):
     return rows.select("event_id", F.split_part("event_type", F.lit("c"), F.lit(1)).alias("family"), F.coalesce(F.get_json_object("props", "$.severity"), F.lit("information")).alias("severity"))
 
 
-@query("SELECT category, count(*) AS cases, round(avg((item_id % 7) / 6.0), 6) AS mean, CAST(sum(CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM eval_items GROUP BY 1")
-def metric_average(spark, d):
-    rows = table(spark, d, "eval_items")
-    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("item_id") % 7) / 6.0), 6).alias("mean"), F.count_if(F.col("item_id") % 2 == 0).alias("passed"))
-
-
-@query("SELECT category, CASE WHEN item_id % 5 = 0 THEN 'insufficient' WHEN item_id % 5 <= 2 THEN 'high' ELSE 'low' END AS band, count(*) AS n FROM eval_items GROUP BY 1, 2")
-def calibration_bands(spark, d):
-    k = F.col("item_id") % 5
-    band = F.when(k == 0, "insufficient").when(k <= 2, "high").otherwise("low")
-    return table(spark, d, "eval_items").groupBy("category", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     """WITH d AS (SELECT doc_id, source, kind, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS k FROM documents)
 SELECT source, bool_and(coalesce(kind, '') = 'code_doc') AS rerun FROM d WHERE k <= 5 GROUP BY 1"""

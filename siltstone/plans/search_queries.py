@@ -10,10 +10,12 @@ from siltstone.functions import scores as SC
 from siltstone.functions import text as X
 from siltstone.functions import vectors as V
 from siltstone.operators import code as C
+from siltstone.operators import measures as M
 from siltstone.operators import search as S
 from siltstone.operators import similarity as D
 from siltstone.operators.rerank import rerank
 from siltstone.plans.registry import Registry
+from siltstone.session import cut_lineage
 from siltstone.tables import latest, table
 
 query = Registry()
@@ -24,14 +26,14 @@ def docs(spark, d):
 
 
 def cases(spark, d):
-    """A stated query set: every item whose id is divisible by 20."""
-    return table(spark, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "query")
+    """The query of every evaluation item."""
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query")
 
 
 _BM25 = """
 WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents WHERE text IS NOT NULL),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM eval_items WHERE item_id % 20 = 0),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM eval_items),
 p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok),
 tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -139,23 +141,108 @@ def rank_margin(spark, d):
 
 @query(_RRF + "SELECT query_id, doc_id, CASE WHEN len(f.streams) >= 2 AND rank <= 3 THEN 'high' WHEN len(f.streams) >= 2 THEN 'medium' ELSE 'low' END AS band FROM f JOIN r USING (query_id, doc_id)")
 def confidence_band(spark, d):
-    ranks = S.top_k(bm25_scores(spark, d), 50).select("query_id", "doc_id", "rank")
-    band = SC.confidence_band(F.size("streams"), F.lit(False), F.col("rank"))
-    return fused(spark, d).join(ranks, ["query_id", "doc_id"]).select("query_id", "doc_id", band.alias("band"))
+    hits = fused(spark, d)
+    lexical = F.element_at("ranks", F.array_position("streams", "lexical").cast("int"))
+    return hits.select("query_id", "doc_id", SC.confidence_band(F.size("streams"), F.lit(False), lexical).alias("band"))
 
 
 @query(
-    """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS f FROM v WHERE vec_id = 0)
-SELECT vec_id, round(0.55 * list_cosine_similarity(e, f) + 0.45 * (1.0 / (1 + vec_id % 7)), 6) AS score FROM v, q
+    _BM25.rstrip()
+    + """,
+c AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS lexical FROM r WHERE rank <= 50),
+qt AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM eval_items) GROUP BY ALL),
+ql AS (SELECT query_id, sqrt(sum(n * n)) AS ql FROM qt GROUP BY 1),
+dt AS (SELECT doc_id, term, count(*) AS n FROM p WHERE doc_id IN (SELECT doc_id FROM c) GROUP BY ALL), dl AS (SELECT doc_id, sqrt(sum(n * n)) AS dl FROM dt GROUP BY 1),
+x AS (SELECT query_id, doc_id, sum(qt.n * dt.n) AS dot FROM c JOIN qt USING (query_id) JOIN dt USING (doc_id, term) GROUP BY ALL)
+SELECT query_id, doc_id, round(0.55 * dot / (ql * dl) + 0.45 * lexical, 6)::DOUBLE AS score FROM c JOIN x USING (query_id, doc_id) JOIN ql USING (query_id) JOIN dl USING (doc_id)
 """
 )
 def hybrid_weighted(spark, d):
-    """0.55 closeness and 0.45 lexical score."""
-    v = table(spark, d, "embeddings")
-    target = [float(x) for x in v.where("vec_id = 0").first()["embedding"]]
-    close = V.cosine("embedding", F.array(*[F.lit(x) for x in target]))
-    return v.select("vec_id", F.round(close * 0.55 + (F.lit(1.0) / (1 + F.col("vec_id") % 7)) * 0.45, 6).alias("score"))
+    """0.55 closeness of term vectors and 0.45 BM25 over its best, for the 50 best documents of each query; only these documents' terms are counted."""
+    best = S.top_k(bm25_scores(spark, d), 50).withColumn("lexical", F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).select("query_id", "doc_id", "lexical")
+    best = cut_lineage(best)
+
+    def terms(frame, key, text):
+        split = frame.select(key, X.ascii_tokens(text).alias("_ts"))
+        counted = split.select(key, F.explode("_ts").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+        return counted, counted.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+
+    texts = docs(spark, d).select("doc_id", "text").join(S.small(best.select("doc_id").distinct()), "doc_id", "left_semi")
+    of_doc, doc_length = terms(texts, "doc_id", "text")
+    of_query, query_length = terms(cases(spark, d), "query_id", "query")
+    of_query = S.small(of_query.withColumnRenamed("n", "m"))
+    dot = best.join(of_doc, "doc_id").join(of_query, ["query_id", "term"]).groupBy("query_id", "doc_id", "lexical").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    whole = dot.join(doc_length, "doc_id").join(S.small(query_length.withColumnRenamed("length", "ql")), "query_id")
+    return whole.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("ql") * F.col("length")) * 0.55 + F.col("lexical") * 0.45, 6).alias("score"))
+
+
+# the documents that name the subject of a query, its last two words, are the relevant ones
+_JUDGED = (
+    _BM25.rstrip()
+    + """,
+s AS (SELECT item_id AS query_id, category, list_transform(list_reverse(list_slice(list_reverse(regexp_extract_all(lower(query), '[a-z0-9]+')), 1, 2)), lambda w: w) AS subject FROM eval_items),
+rel AS (SELECT DISTINCT query_id, doc_id FROM s JOIN tok ON contains(concat(' ', array_to_string(ts, ' '), ' '), concat(' ', array_to_string(subject, ' '), ' ')) WHERE len(subject) = 2),
+top AS (SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10),
+j AS (SELECT s.query_id, any_value(category) AS category, min(top.rank) FILTER (WHERE rel.doc_id IS NOT NULL) AS first, count(*) FILTER (WHERE rel.doc_id IS NOT NULL AND top.rank <= 5) AS found,
+ any_value(coalesce(n.n, 0)) AS relevant, max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2) AS margin, count(top.doc_id) AS results
+ FROM s LEFT JOIN top ON top.query_id = s.query_id LEFT JOIN rel ON rel.query_id = s.query_id AND rel.doc_id = top.doc_id LEFT JOIN (SELECT query_id, count(*) AS n FROM rel GROUP BY 1) n ON n.query_id = s.query_id GROUP BY s.query_id)
+"""
+)
+
+
+def judged(spark, d):
+    """query_id, category, first relevant rank among ten, relevant among the best five, all relevant, margin of the best result, results.
+
+    The subjects are joined with the pairs of neighbouring words of the documents, so that no
+    query meets every document.
+    """
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "category", X.ascii_tokens("query").alias("w"))
+    subject = F.array_join(F.slice("w", F.size("w") - 1, 2), " ")
+    asked = items.where("size(w) > 1").select("query_id", subject.alias("pair"))
+    words = docs(spark, d).where("text is not null").select("doc_id", X.ascii_tokens("text").alias("w"))
+    pairs = words.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda x, y: F.concat_ws(" ", x, y)))).alias("pair"))
+    relevant = cut_lineage(pairs.join(S.small(asked), "pair").select("query_id", "doc_id").distinct())
+    top = S.top_k(bm25_scores(spark, d), 10).select("query_id", "doc_id", "score", "rank")
+    told = top.join(relevant.withColumn("yes", F.lit(True)), ["query_id", "doc_id"], "left")
+    rank, yes = F.col("rank"), F.col("yes")
+    of_top = told.groupBy("query_id").agg(
+        F.min(F.when(yes, rank)).alias("first"), F.count_if(yes & (rank <= 5)).alias("found"), F.count(F.lit(1)).alias("results"),
+        (F.max(F.when(rank == 1, F.col("score"))) - F.max(F.when(rank == 2, F.col("score")))).alias("margin"),
+    )
+    counts = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
+    return items.select("query_id", "category").join(of_top, "query_id", "left").join(counts, "query_id", "left").na.fill(0, ["found", "results", "relevant"])
+
+
+@query(
+    _JUDGED
+    + """SELECT query_id, CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS top1, CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_at_3, round(coalesce(found::DOUBLE / nullif(relevant, 0), 0), 6) AS recall_at_5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr,
+round(coalesce(CASE WHEN first <= 5 THEN 1.0::DOUBLE / log2(first + 1) END, 0), 6) AS ndcg_at_5 FROM j"""
+)
+def ir_metrics(spark, d):
+    """Measures of the BM25 ranking of every evaluation item over the documents."""
+    measured = M.rank_measures(F.col("first"), F.col("found"), F.col("relevant"))
+    return judged(spark, d).select("query_id", *[F.round(v, 6).alias(n) for n, v in measured.items()])
+
+
+@query(
+    _JUDGED
+    + """SELECT category, count(*) AS cases, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mean_mrr, round(avg(coalesce(found::DOUBLE / nullif(relevant, 0), 0)), 6) AS mean_recall, count(*) FILTER (WHERE first <= 3) AS passed FROM j GROUP BY 1"""
+)
+def metric_average(spark, d):
+    """Mean measures and passed cases of each category."""
+    m = M.rank_measures(F.col("first"), F.col("found"), F.col("relevant"))
+    return judged(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(m["mrr"]), 6).alias("mean_mrr"), F.round(F.avg(m["recall_at_5"]), 6).alias("mean_recall"), F.count_if(F.col("first") <= 3).alias("passed"))
+
+
+@query(
+    _JUDGED
+    + """SELECT category, CASE WHEN results < 2 THEN 'insufficient' WHEN round(margin, 6) >= 0.5 THEN 'high' WHEN round(margin, 6) >= 0.1 THEN 'medium' ELSE 'low' END AS band, count(*) AS n, count(*) FILTER (WHERE first = 1) AS right FROM j GROUP BY 1, 2"""
+)
+def calibration_bands(spark, d):
+    """How often the best result is relevant, by the confidence that its margin shows."""
+    margin = F.round("margin", 6)
+    band = F.when(F.col("results") < 2, "insufficient").when(margin >= 0.5, "high").when(margin >= 0.1, "medium").otherwise("low")
+    return judged(spark, d).groupBy("category", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == 1).alias("right"))
 
 
 @query(_RRF + ", t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= least(16, greatest(10, 4))")
@@ -265,16 +352,32 @@ def brief_packing(spark, d):
     return S.pack(best.join(bodies, "doc_id"), 400, by=["query_id"]).select("query_id", "doc_id", "tokens", "status")
 
 
-@query(name="search_brief")
+@query(
+    _RRF
+    + """,
+can AS (SELECT doc_id, duplicates FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical, count(*) OVER (PARTITION BY text) - 1 AS duplicates FROM documents WHERE text IS NOT NULL) WHERE doc_id = canonical),
+h AS (SELECT query_id, doc_id, round(score, 9) AS score, duplicates, coalesce(kind, '') AS title, text AS body FROM f JOIN can USING (doc_id) JOIN documents USING (doc_id) WHERE starts_with(lower(lang), 'en')),
+m AS (SELECT *, row_number() OVER o AS rank, round(score - lead(score) OVER o, 6) AS margin FROM h WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, doc_id)),
+i AS (SELECT query_id, doc_id, title, score, rank, margin, duplicates, greatest(1, len(list_filter(string_split_regex(concat('### ', title, chr(10), regexp_replace(body, '^\\s+|\\s+$', '', 'g')), '\\s+'), lambda w: w <> ''))) AS cost FROM m WHERE rank <= 40),
+l AS (SELECT query_id, list(struct_pack(k := doc_id, c := CAST(cost AS BIGINT), used := CAST(0 AS BIGINT), st := '') ORDER BY score DESC, title, doc_id) AS items FROM i GROUP BY query_id),
+w AS (SELECT query_id, list_reduce(list_prepend([struct_pack(k := CAST(-1 AS BIGINT), c := CAST(0 AS BIGINT), used := CAST(0 AS BIGINT), st := 'start')], list_transform(items, lambda x: [x])), lambda a, x:
+   list_append(a, struct_pack(k := x[1].k, c := x[1].c, used := a[-1].used + CASE WHEN a[-1].used + x[1].c <= 1200 THEN x[1].c ELSE 0 END, st := CASE WHEN a[-1].used + x[1].c <= 1200 THEN 'packed' ELSE 'over_budget' END))) AS o FROM l),
+x AS (SELECT query_id, unnest(o) AS e, generate_subscripts(o, 1) - 2 AS position FROM w)
+SELECT query_id, CAST(position AS INTEGER) AS position, e.k AS doc_id, CAST(e.c AS INTEGER) AS tokens, e.st AS status, CAST(rank AS INTEGER) AS rank, margin, duplicates FROM x JOIN i ON i.query_id = x.query_id AND i.doc_id = e.k WHERE e.st <> 'start'
+""".replace("SELECT query_id, CAST(position", "SELECT x.query_id, CAST(position")
+)
 def search_brief(spark, d):
-    """The flagship: ranked, fused, deduplicated and filtered results of each query, packed into a brief of 1,200 tokens."""
-    copies = D.exact_duplicates(docs(spark, d), "doc_id", "text")
-    canonical = copies.where("doc_id = canonical").select("doc_id", "duplicates")
-    english = docs(spark, d).where(F.lower("lang").startswith("en")).select("doc_id", F.coalesce("kind", F.lit("")).alias("title"), "text")
-    hits = fused(spark, d).join(canonical, "doc_id").join(english, "doc_id")
-    ranked = S.with_margin(hits.withColumn("score", F.round("score", 9)), ["query_id"]).where("rank <= 40")
-    packed = S.pack(ranked.withColumnRenamed("text", "body"), 1200, by=["query_id"])
-    return packed.join(ranked.select("query_id", "doc_id", "rank", "margin", "duplicates"), ["query_id", "doc_id"])
+    """The flagship: ranked, fused, deduplicated and filtered results of each query, packed into a brief of 1,200 tokens.
+
+    Texts are read for the survivors only; rank, margin and duplicates travel through the packing.
+    """
+    hits = cut_lineage(fused(spark, d).select("query_id", "doc_id", F.round("score", 9).alias("score")))
+    wanted = S.small(hits.select("doc_id").distinct())
+    copies = D.exact_duplicates(docs(spark, d), "doc_id", "text").where("doc_id = canonical").join(wanted, "doc_id", "left_semi").select("doc_id", "duplicates")
+    english = docs(spark, d).where(F.lower("lang").startswith("en")).select("doc_id", F.coalesce("kind", F.lit("")).alias("title"))
+    ranked = S.with_margin(hits.join(copies, "doc_id").join(english, "doc_id"), ["query_id"]).where("rank <= 40")
+    bodies = docs(spark, d).select("doc_id", F.col("text").alias("body"))
+    return S.pack(ranked.join(bodies, "doc_id"), 1200, by=["query_id"], carry=["rank", "margin", "duplicates"])
 
 
 @query(name="rerank_scores")
@@ -299,7 +402,8 @@ def explain_struct(spark, d):
 def code_symbols(spark, d):
     """Declarations in the code assets' chunks."""
     assets = latest(table(spark, d, "source_assets").where("file_kind = 'code'").select("id", "path", "updated_at"), "id", "updated_at").select(F.col("id").alias("asset_id"), "path")
-    chunks = latest(table(spark, d, "asset_chunks").select("id", "asset_id", "body", "updated_at"), "id", "updated_at")
+    of_code = table(spark, d, "asset_chunks").select("id", "asset_id", "body", "updated_at").join(S.small(assets.select("asset_id")), "asset_id", "left_semi")
+    chunks = latest(of_code, "id", "updated_at")
     return C.code_symbols(chunks.join(assets, "asset_id"), text="body")
 
 

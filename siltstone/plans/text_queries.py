@@ -172,7 +172,7 @@ def query_hash(spark, d):
 
 
 @query(
-    """SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\bsk-[A-Za-z0-9_-]{8,}', '[REDACTED:api_key]', 'g'), '(?i)\\b(password|passwd|pwd)(\\s*[:=]\\s*)\\S+', '\\1\\2[REDACTED:password]', 'g')) AS redacted
+    """SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\bsk-[A-Za-z0-9_-]{20,}\\b', '[REDACTED:openai_api_key]', 'g'), '(?i)\\b(password|passwd|pwd)(\\s*[:=]\\s*)([^\\s;,''"]+)', '\\1\\2[REDACTED:password_assignment]', 'g')) AS redacted
 FROM documents WHERE text IS NOT NULL"""
 )
 def redact_secrets(spark, d):
@@ -307,7 +307,17 @@ def nfkc_text(spark, d):
     return documents(spark, d).select("doc_id", H.sha(H.nfkc("text")).alias("hash"))
 
 
-@query(name="html_text")
+def _html_sql() -> str:
+    body = "html_body"
+    for tag in ("script", "style", "noscript", "svg", "head"):
+        body = f"regexp_replace({body}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    body = f"regexp_replace({body}, '(?s)<!--.*?-->|<[^>]+>', ' ', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        body = f"replace({body}, '{entity}', '{char}')"
+    return f"SELECT DISTINCT export_id, trim(regexp_replace({body}, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS text FROM parsed_email WHERE html_body IS NOT NULL"
+
+
+@query(_html_sql())
 def html_text(spark, d):
     return table(spark, d, "parsed_email").where("html_body is not null").select("export_id", X.html_text("html_body").alias("text")).distinct()
 
