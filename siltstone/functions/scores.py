@@ -61,3 +61,10 @@ def range_label(value: Column, bounds: list[int]) -> Column:
         label = F.when(test, text) if label is None else label.when(test, text)
         low = high
     return F.when(value.isNull(), "unknown").otherwise(label.otherwise(f"{low}+"))
+
+
+def deprioritised(current: Column, state: Column, retention: Column, factors: dict[str, Column]) -> Column:
+    """The reasons, in this order, for which a result stands lower; an empty array where there are none."""
+    good = state.isin("", "active", "confirmed", "reinforced")
+    reasons = [F.when(~current, "non_current"), F.when(~good, F.concat(F.lit("state:"), state)), F.when(retention != "keep", F.concat(F.lit("retention:"), retention))]
+    return F.array_compact(F.array(*reasons, *[F.when(value < 1.0, f"penalty:{name}") for name, value in factors.items()]))

@@ -69,3 +69,17 @@ def head_batch(queue: DataFrame, lane: str, order: Sequence[Column], same: Colum
     head = F.first(same).over(window)
     counted = first.withColumn("_odd", F.sum((~same.eqNullSafe(head)).cast("int")).over(window)).withColumn("_bytes", F.sum(size).over(window))
     return counted.where((F.col("_odd") == 0) & (F.col("_bytes") <= most_bytes)).drop("_odd", "_bytes", "_lane")
+
+
+def bounded(arrivals: DataFrame, by: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
+    """Each arrival with ``taken``: whether the queue of its group, which holds ``size``, still had room."""
+    return arrivals.withColumn("taken", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= size)
+
+
+def due(schedules: DataFrame, last: Column, now: Column, interval: int) -> DataFrame:
+    """The schedules whose last run lies ``interval`` seconds back, with the number of runs missed besides the one now due.
+
+    A schedule that never ran is due with nothing missed.
+    """
+    late = now - last
+    return schedules.where(late.isNull() | (late >= interval)).withColumn("missed", F.coalesce(F.floor(late / interval).cast("long") - 1, F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -54,3 +56,37 @@ def predicate(wanted: Request, file_kind: str = "file_kind", generated: str | No
     if generated is not None and wanted.include_generated is False:
         test = test & ~F.coalesce(F.col(generated), F.lit(False))
     return test
+
+
+def chosen(raw: Sequence[str] | str | None) -> list[str]:
+    """Distinct values as given, sorted; a text may name several, separated by commas."""
+    given = raw.split(",") if isinstance(raw, str) else list(raw or ())
+    return sorted({str(v).strip() for v in given if str(v).strip()})
+
+
+def matches(filters: dict) -> Column:
+    """Whether a row has one of the values of every field; a field without values does not filter. Nulls match no value."""
+    kept = F.lit(True)
+    for name, given in filters.items():
+        if wanted := chosen(given):
+            kept = kept & F.coalesce(F.col(name).isin(wanted), F.lit(False))
+    return kept
+
+
+def fingerprint(filters: dict) -> str:
+    """SHA-256 of the filters in canonical form: the order of fields and values does not matter."""
+    canonical = json.dumps({k: chosen(v) for k, v in filters.items()}, sort_keys=True)
+    return hashlib.sha256(canonical.encode()).hexdigest()
+
+
+def cursor(at: str, key: int, filters: dict) -> str:
+    return f"{at}|{key}|{fingerprint(filters)}"
+
+
+def position(cursor_: str, filters: dict) -> tuple[str, int]:
+    """Time and key of a cursor; one made for other filters, or a broken one, is an error."""
+    at, _, rest = cursor_.partition("|")
+    key, _, print_ = rest.partition("|")
+    if print_ != fingerprint(filters) or not key.lstrip("-").isdigit():
+        raise ValueError("the cursor belongs to another filter")
+    return at, int(key)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import measure_queries, report_queries, search_queries, state_queries, text_queries
+from siltstone.plans import measure_queries, policy_queries, report_queries, search_queries, state_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (text_queries, search_queries, measure_queries, state_queries, report_queries)
+MODULES = (text_queries, search_queries, measure_queries, state_queries, report_queries, policy_queries)
 
 
 def queries() -> dict[str, Query]:

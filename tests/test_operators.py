@@ -173,3 +173,58 @@ def test_equal_vectors_keep_all_their_pairs(spark):
     assert sorted(found) == [(2, 3), (2, 5), (2, 9), (3, 5), (3, 9), (4, 7), (5, 9)]
     parts = {r["node"]: r["component"] for r in D.connected_components(D.cosine_links(frame, 0.95)).collect()}
     assert parts == {2: 2, 3: 2, 5: 2, 9: 2, 4: 4, 7: 4}
+
+
+def test_running_total_over_partitions(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 9), rng.choice([None, 1, 2, 5])) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id int, place int, n long")
+    found = {r["id"]: r["before"] for r in M.running_total(frame, ["place", "id"], "n").collect()}
+    total, want = 0, {}
+    for i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = total
+        total += n or 0
+    assert found == want and M.running_total(frame.limit(0), ["place", "id"], "n").count() == 0
+
+
+def test_debounce_of_a_hot_key(spark):
+    """One key holds nine tenths of the rows; its runs are taken apart and give what one fold would give."""
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice("abc"), rng.randint(0, 20_000), i) for i in range(6000)] + [(None, 5, 9001), (None, 6, 9002), ("a", None, 9003)]
+    frame = spark.createDataFrame(rows, "key string, t long, id long")
+    want = set()
+    for key in {k for k, _, _ in rows}:
+        last = None
+        for t, i in sorted((t, i) for k, t, i in rows if k == key and t is not None):
+            if last is None or t - last >= 7:
+                last = t
+                want.add((key, i))
+    assert {tuple(r) for r in Q.accepted(frame, ["key"], F.col("t"), "id", 7).collect()} == want
+    assert Q.accepted(frame.limit(0), ["key"], F.col("t"), "id", 7).count() == 0
+
+
+def test_pairs_of_a_hot_label_are_spread(spark):
+    """Nine tenths of the vectors share a label; tiles meet by name, so no task holds all of them, and no pair is lost."""
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    points = rng.normal(size=(1500, 8))
+    rows = [(i, [float(x) for x in v], 0 if i % 10 else 1) for i, v in enumerate(points)]
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    want = {(i, j) for i, j in zip(*np.nonzero(close), strict=True) if i < j and (i % 10 == 0) == (j % 10 == 0)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {(r["a"], r["b"]) for r in D.cosine_pairs(frame, 0.9).collect()} == want and len(want) > 100
+
+
+def test_sweep_from_close_pairs(spark):
+    pairs = spark.createDataFrame([(0.99, True), (0.9, False), (0.86, True), (0.5, True), (0.4, False), (0.1, False)], "s double, dup boolean")
+    whole = {tuple(r) for r in M.threshold_sweep(pairs, "s", "dup", [0.82, 0.9, 1.0]).collect()}
+    assert {tuple(r) for r in M.sweep_from(pairs.where("s >= 0.82"), "s", "dup", (3, 3), [0.82, 0.9, 1.0]).collect()} == whole
+
+
+def test_bounds_and_schedules(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "lane string, at int")
+    assert sorted((r["lane"], r["at"]) for r in Q.bounded(rows, ["lane"], [F.asc("at")], 2).where("not taken").collect()) == [("a", 3)]
+    last = spark.createDataFrame([("x", 0), ("y", 95), ("z", None)], "name string, last long")
+    assert {(r["name"], r["missed"]) for r in Q.due(last, F.col("last"), F.lit(100), 10).collect()} == {("x", 9), ("z", 0)}

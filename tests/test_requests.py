@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import requests as R
 
@@ -16,3 +17,14 @@ def test_predicate(spark):
     assert rows.where(R.predicate(R.request({"query": "a"}))).count() == 3
     assert rows.where(R.predicate(R.request({"query": "a", "file_kinds": "code"}))).count() == 1
     assert rows.where(R.predicate(R.request({"query": "a", "include_generated": False}), generated="gen")).count() == 2
+
+
+def test_a_cursor_belongs_to_its_filter(spark):
+    one, same, other = {"status": "busy, failed", "root": []}, {"root": None, "status": ["failed", "busy", "busy"]}, {"status": "busy"}
+    cursor = R.cursor("2024-01-01 00:00:00", 7, one)
+    assert R.position(cursor, same) == ("2024-01-01 00:00:00", 7)
+    for broken in (cursor, "x", "", "2024|a|" + R.fingerprint(other)):
+        with pytest.raises(ValueError):
+            R.position(broken, other)
+    rows = spark.createDataFrame([(1, "busy"), (2, "Busy"), (3, None), (4, "failed")], "id int, status string").withColumn("root", F.lit("r"))
+    assert [r["id"] for r in rows.where(R.matches(one)).collect()] == [1, 4] and rows.where(R.matches({"status": []})).count() == 4
