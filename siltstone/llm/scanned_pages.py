@@ -29,8 +29,6 @@ from siltstone.session import cut_lineage
 from siltstone.tables import table
 
 SYMBOLS = "|€†¢§@!$£"
-#: Symbols that a word of natural language never holds.
-SURE = re.compile(r"(?<=[^\W\d_])[|€†¢§]|[|€†¢§](?=[^\W\d_])|ſ")
 TOKEN = re.compile(rf"[\w|€†¢](?:[\w{re.escape(SYMBOLS)}]*[\w|€†¢])?")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 HYPHENS = "-‐¬\xad"
@@ -47,7 +45,7 @@ CONFUSIONS = {
 #: Characters that cannot stand in a word and must be explained by the channel.
 FOREIGN = frozenset("|€†¢§@!$£0123456789ſ")
 MAX_EDITS = 2
-MAX_FOREIGN = 4
+MAX_FOREIGN = 8
 #: A word is suspicious when a word one confusion away is this many times as frequent.
 RATIO = 20
 #: Share of words that are read wrongly, before the corpus says how it is spread over the confusions.
@@ -314,14 +312,14 @@ def channel(pairs: DataFrame) -> dict[str, float]:
     return {k: math.log(ERROR_RATE * (seen.get(k, 0) + 1) / (total + len(kinds))) for k in kinds}
 
 
-FOUND = """chunk_id string, version timestamp_ntz, asset_id string, sure boolean, page_no boolean, cut boolean,
+FOUND = """chunk_id string, version timestamp_ntz, asset_id string, page_no boolean, cut boolean,
 dashes array<struct<joined:string,compound:string>>, titles array<struct<line:int,skeleton:string>>, lines array<struct<line:int,words:array<string>,flags:array<boolean>>>"""
 
 
 def inspect(pages: DataFrame, flags: bytes) -> DataFrame:
     """One row per delivery: what the layout shows and the lines that hold suspicious words."""
     shared = pages.sparkSession.sparkContext.broadcast(flags)
-    fields = ["chunk_id", "version", "asset_id", "sure", "page_no", "cut", "dashes", "titles", "lines"]
+    fields = ["chunk_id", "version", "asset_id", "page_no", "cut", "dashes", "titles", "lines"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         member = bloom.Member(shared.value)
@@ -329,7 +327,7 @@ def inspect(pages: DataFrame, flags: bytes) -> DataFrame:
             rows = []
             for name, version, asset, body in zip(batch["chunk_id"], batch["version"], batch["asset_id"], batch["body"], strict=True):
                 page = layout(body)
-                sure = cut = False
+                cut = False
                 dashes, lines = [], []
                 for left, hyphen, j, word in page.breaks.values():
                     if hyphen != "-":
@@ -341,13 +339,12 @@ def inspect(pages: DataFrame, flags: bytes) -> DataFrame:
                 streams = [(i, words) for i, words in words_of(page).items() if words]
                 for n, (i, words) in enumerate(streams):
                     hits = [member(w) and correctable(w) for w in words]
-                    sure = sure or bool(SURE.search(page.lines[i]))
                     if any(hits):  # with the last word of the line before and the first of the next as context
                         before = streams[n - 1][1][-1] if n else ""
                         after = [streams[n + 1][1][0]] if n + 1 < len(streams) else []
                         lines.append({"line": i, "words": [before, *words, *after], "flags": [False, *hits, *[False for _ in after]]})
                 titles = [{"line": i, "skeleton": s} for i, s in page.titles.items()]
-                rows.append((name, version, asset, sure, bool(page.page_lines or page.sides), cut, dashes, titles, lines))
+                rows.append((name, version, asset, bool(page.page_lines or page.sides), cut, dashes, titles, lines))
             yield pd.DataFrame(rows, columns=fields)
 
     looked = pages.mapInPandas(look, FOUND)
@@ -487,7 +484,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     all_ = analyse(scanned(spark, folder))
     kinds = [
         broken(all_.found, all_.words).withColumn("kind", F.lit("hyphen")),
-        all_.found.where("sure").select("chunk_id").unionByName(all_.changes.select("chunk_id")).distinct().withColumn("kind", F.lit("misread")),
+        all_.changes.select("chunk_id").distinct().withColumn("kind", F.lit("misread")),
         all_.headers.select("chunk_id").distinct().withColumn("kind", F.lit("header")),
         all_.found.where("page_no").select("chunk_id").distinct().withColumn("kind", F.lit("page_no")),
     ]

@@ -34,3 +34,16 @@ def test_token_ids(spark, reference, sf):
     for r in T.p7_ids(spark, sf).collect():
         text = texts[r["doc_id"]]
         assert r["ids"] == (None if text is None else reference.encode_ordinary(text))
+
+
+def test_control_characters_and_another_vocabulary(spark, reference):
+    encoder = T.Encoder(T.read_vocabulary())
+    for text in ("a\x1cb \x1d\x1e x\x1f", "\t\n\x0b\x0c\r  y\x85z", "it's I'LL 12a_b  ", "x y"):
+        assert encoder.encode(text) == reference.encode_ordinary(text)
+    import tiktoken
+
+    other = os.path.join(os.path.dirname(T.VOCABULARY), "byte_bpe_multi_50k.tiktoken")
+    want = tiktoken.Encoding("other", pat_str=r"\S+|\s+", mergeable_ranks=T.read_vocabulary(other), special_tokens={})
+    texts = ["Größe 東京", "plain words", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in T.token_ids(frame, vocabulary=other, pattern=r"\S+|\s+").collect()} == {i: want.encode_ordinary(t) for i, t in enumerate(texts)}
