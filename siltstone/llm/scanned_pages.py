@@ -126,7 +126,7 @@ def layout(body: str) -> Page:
     width = max((len(lines[i].strip()) for i in filled), default=0)
     for n, i in enumerate(filled):
         text = lines[i].strip()
-        if i in page_lines or len(text) > 90:
+        if i in page_lines:
             continue
         side = SIDE.fullmatch(text) if "  " in text else None
         core = (side["a"] or side["b"]) if side else text
