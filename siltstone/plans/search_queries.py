@@ -54,19 +54,22 @@ def bm25_topk(spark, d):
 
 @query(
     """
-WITH e AS (SELECT id, arg_max(title, updated_at) AS title, arg_max(summary, updated_at) AS summary FROM episodes GROUP BY id),
-q AS (SELECT unnest(['watcher', 'queue', 'policy']) AS term),
-t AS (SELECT id, len(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+'), lambda x: x = term)) AS nt, len(list_filter(regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9]+'), lambda x: x = term)) AS ns FROM e, q)
-SELECT id, round(CAST(sum(1.0 * nt + 0.4 * ns) AS DOUBLE), 6) AS score FROM t GROUP BY id HAVING sum(nt + ns) > 0
+WITH e AS (SELECT id, arg_max(coalesce(title, ''), updated_at) AS title, arg_max(coalesce(summary, ''), updated_at) AS summary FROM episodes GROUP BY id),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM eval_items),
+w AS (SELECT id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS term, 1.0::DOUBLE AS w FROM e UNION ALL SELECT id, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')), 0.4::DOUBLE FROM e),
+s AS (SELECT query_id, id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY ALL)
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10
 """
 )
 def title_body_weighted(spark, d):
-    """Weighted term counts: titles weigh 1.0, bodies 0.4."""
+    """The ten best episodes of every evaluation item by weighted term counts: titles weigh 1.0, bodies 0.4."""
     e = latest(table(spark, d, "episodes").select("id", "title", "summary", "updated_at"), "id", "updated_at")
-    terms = F.array(*[F.lit(t) for t in ("watcher", "queue", "policy")])
-    hits = lambda c: F.size(F.filter(X.ascii_tokens(F.coalesce(c, F.lit(""))), lambda t: F.array_contains(terms, t)))
-    counted = e.select("id", hits("title").alias("nt"), hits("summary").alias("ns")).where("nt + ns > 0")
-    return counted.select("id", F.round(F.col("nt") * 1.0 + F.col("ns") * 0.4, 6).alias("score"))
+    wanted = cases(spark, d).select("query_id", F.explode(F.array_distinct(X.ascii_tokens("query"))).alias("term"))
+    fields = [e.select("id", X.ascii_tokens(F.coalesce(c, F.lit(""))).alias("ts"), F.lit(w).alias("w")) for c, w in (("title", 1.0), ("summary", 0.4))]
+    terms = fields[0].unionByName(fields[1]).select("id", F.explode("ts").alias("term"), "w")
+    weighed = terms.join(S.small(wanted.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.sum("w").alias("w"))
+    scored = weighed.join(S.small(wanted), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return S.top_k(scored, 10, key="id")
 
 
 _TRI = "list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring(concat('  ', w, ' '), i, 3)))))"
@@ -74,7 +77,7 @@ _TRI = "list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[a-
 
 @query(
     f"""
-WITH n AS (SELECT p_partkey, {_TRI.format(c="p_name")} AS g FROM part), q AS (SELECT 1 AS query_id, {_TRI.format(c="'small rings'")} AS g UNION ALL SELECT 2, {_TRI.format(c="'blue anvils'")}),
+WITH n AS (SELECT p_partkey, {_TRI.format(c="p_name")} AS g FROM part), q AS (SELECT p_partkey AS query_id, g FROM n WHERE p_partkey % 100 = 0),
 s AS (SELECT query_id, p_partkey, len(list_intersect(n.g, q.g)) AS s, len(n.g) AS a, len(q.g) AS b FROM n, q),
 r AS (SELECT query_id, p_partkey, round(s / (a + b - s), 6) AS score FROM s WHERE s > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS rank FROM r WHERE score >= 0.3)
@@ -82,7 +85,8 @@ SELECT query_id, p_partkey, score, CAST(rank AS INTEGER) AS rank FROM k WHERE ra
 """
 )
 def trigram_topk(spark, d):
-    asked = spark.createDataFrame([(1, "small rings"), (2, "blue anvils")], "query_id int, query string")
+    """Names like those of every part whose key is divisible by 100."""
+    asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     scored = S.trigram_search(table(spark, d, "part"), asked, "p_partkey", "p_name", "query_id", "query", 0.0)
     rounded = scored.withColumn("score", F.round("score", 6)).where("score >= 0.3")
     return S.top_k(rounded, 20, key="p_partkey")
@@ -488,6 +492,24 @@ def semantic_clusters(spark, d):
     return D.connected_components(D.cosine_links(table(spark, d, "embeddings"), 0.35))
 
 
+_CLUSTERS = (
+    "WITH RECURSIVE "
+    + _PAIRS.strip().removeprefix("WITH ")
+    + """, e AS (SELECT a AS u, b AS v FROM p WHERE s >= 0.35 UNION SELECT b, a FROM p WHERE s >= 0.35),
+w(u, m) AS (SELECT u, u FROM e UNION SELECT e.v, w.m FROM w JOIN e ON e.u = w.u), c AS (SELECT u AS node, min(m) AS component FROM w GROUP BY u)
+"""
+)
+
+
+@query(_CLUSTERS + "SELECT component, arg_max(node, struct_pack(n := coalesce(n_chars, 0), k := -node)) AS canonical, count(*) AS members, count(*) - 1 AS suppressed FROM c LEFT JOIN documents ON doc_id = node GROUP BY 1")
+def cluster_canonical(spark, d):
+    """The member that stands for each cluster, the one with the longest text, and how many it suppresses."""
+    clusters = D.connected_components(D.cosine_links(table(spark, d, "embeddings"), 0.35))
+    sized = clusters.join(docs(spark, d).select(F.col("doc_id").alias("node"), "n_chars"), "node", "left")
+    rank = F.struct(F.coalesce("n_chars", F.lit(0)).alias("n"), (-F.col("node")).alias("k"))
+    return sized.groupBy("component").agg(F.max_by("node", rank).alias("canonical"), F.count(F.lit(1)).alias("members"), (F.count(F.lit(1)) - 1).alias("suppressed"))
+
+
 @query(
     """
 WITH s AS (SELECT DISTINCT id, root_id, path, size_bytes, mtime_ns, quick_hash, content_hash FROM source_assets), m AS (SELECT * FROM s WHERE hash(id) IS NOT NULL AND mtime_ns % 3 <> 0)

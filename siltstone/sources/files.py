@@ -135,22 +135,26 @@ def read_subtitle(data: bytes) -> tuple:
     return result("extracted", text="\n".join(lines), cues=cues)
 
 
+def mail_bodies(message: email.message.Message) -> tuple[str | None, str | None]:
+    """The plain and the HTML body of a message, parts of a kind one below the other, attachments aside."""
+    found: dict[str, list[str]] = {"text/plain": [], "text/html": []}
+    for part in message.walk():
+        if part.get_content_type() in found and part.get_content_disposition() != "attachment":
+            raw = part.get_payload(decode=True) or b""
+            try:
+                found[part.get_content_type()].append(raw.decode(part.get_content_charset() or "utf-8", "replace"))
+            except LookupError:
+                found[part.get_content_type()].append(raw.decode("utf-8", "replace"))
+    plain, html_ = ("\n".join(x).replace("\r\n", "\n") if x else None for x in found.values())
+    return plain, html_
+
+
 def _mail_text(message: email.message.Message) -> str:
-    parts = message.walk() if message.is_multipart() else [message]
-    plain = [p for p in parts if p.get_content_type() == "text/plain" and p.get_content_disposition() != "attachment"]
-    chosen = plain or [p for p in message.walk() if p.get_content_type() == "text/html"][:1]
-    texts = []
-    for part in chosen:
-        raw = part.get_payload(decode=True) or b""
-        try:
-            text = raw.decode(part.get_content_charset() or "utf-8", "replace")
-        except LookupError:
-            text = raw.decode("utf-8", "replace")
-        texts.append(readable_html(text)[1] if part.get_content_type() == "text/html" else text)
-    return "\n".join(texts).replace("\r\n", "\n").strip()
+    plain, html_ = mail_bodies(message)
+    return (plain if plain is not None else readable_html(html_ or "")[1]).strip()
 
 
-def _messages(data: bytes) -> Iterator[email.message.Message]:
+def messages(data: bytes) -> Iterator[email.message.Message]:
     """The messages of an eml or mbox file, one after the other."""
     if not data.startswith(b"From "):
         pieces: Iterator[bytes] = iter([data])
@@ -163,15 +167,15 @@ def _messages(data: bytes) -> Iterator[email.message.Message]:
             yield email.message_from_bytes(piece, policy=email.policy.compat32)
 
 
-def _header(message: email.message.Message, name: str) -> str:
+def header(message: email.message.Message, name: str) -> str:
     return str(email.header.make_header(email.header.decode_header(message.get(name) or "")))
 
 
 def read_mail(data: bytes) -> tuple:
     """Subject and body of all messages of an eml or mbox file."""
     parts, attachments, subjects = [], 0, []
-    for message in _messages(data):
-        subjects.append(_header(message, "Subject"))
+    for message in messages(data):
+        subjects.append(header(message, "Subject"))
         attachments += sum(p.get_content_disposition() == "attachment" for p in message.walk())
         parts.append(f"Subject: {subjects[-1]}\n{_mail_text(message)}")
     return result("extracted" if parts else "empty", title=subjects[0] if subjects else "", text="\n\n".join(parts), messages=len(parts), attachments=attachments)
@@ -683,9 +687,9 @@ def mail_messages(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for number, message in enumerate(_messages(bytes(content) if content is not None else b""), 1):
+                for number, message in enumerate(messages(bytes(content) if content is not None else b""), 1):
                     attached = sum(p.get_content_disposition() == "attachment" for p in message.walk())
-                    rows.append((path, number, _header(message, "Subject"), _header(message, "From"), _mail_text(message).replace("\x00", ""), attached))
+                    rows.append((path, number, header(message, "Subject"), header(message, "From"), _mail_text(message).replace("\x00", ""), attached))
                     if len(rows) >= 1000:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []

@@ -63,8 +63,9 @@ def store_artifacts(rows: DataFrame, folder: str, content: str = "content") -> D
     return hashed.drop(content)
 
 
-def export_pages(rows: DataFrame, folder: str, title: str, body: str, limit: int = 500) -> DataFrame:
-    """One Markdown page per row under its slug, at most ``limit`` pages (the feature of an export); equal slugs share a folder."""
-    pages = rows.orderBy(title, body).limit(limit).select(X.slug(title).alias("slug"), F.concat(F.lit("# "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit(""))).alias("value"))
+def export_pages(rows: DataFrame, folder: str, title: str, body: str, limit: int | None = None) -> DataFrame:
+    """One Markdown page per row under its slug, all of them unless ``limit`` bounds the export; equal slugs share a folder."""
+    chosen = rows if limit is None else rows.orderBy(title, body).limit(limit)
+    pages = chosen.select(X.slug(title).alias("slug"), F.concat(F.lit("# "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit(""))).alias("value"))
     pages.write.mode("overwrite").partitionBy("slug").text(folder, lineSep="\n")
     return pages

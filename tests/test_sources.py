@@ -158,3 +158,31 @@ def test_files_still_written_wait(spark):
     before = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("gone", 1, 1)], seen)
     after = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("new", 1, 1)], seen)
     assert [r["path"] for r in S.settled(before, after).collect()] == ["a"]
+
+
+def test_spool(spark, tmp_path):
+    from siltstone.sources import spool as L
+
+    one = tmp_path / "ready" / "x1"
+    (one / "attachments").mkdir(parents=True)
+    (one / "manifest.json").write_text(json.dumps({"export_id": "x1", "subject": "s", "recipients": ["a", "b"], "exported_at_epoch": 7}))
+    (one / "body.txt").write_text("body\n")
+    (one / "attachments" / "b.pdf").write_bytes(b"1")
+    (one / "attachments" / "a.txt").write_bytes(b"2")
+    (tmp_path / "ready" / "x2").mkdir()
+    (tmp_path / "ready" / "x2" / "body.txt").write_text("no manifest yet")
+    rows = L.read_spool(spark, str(tmp_path)).collect()
+    assert [(r["export_id"], r["recipients"], r["text_body"], r["html_body"], r["attachments"], r["exported_at_epoch"]) for r in rows] == [("x1", ["a", "b"], "body\n", None, ["a.txt", "b.pdf"], 7)]
+    mails = spark.createDataFrame([("m.eml", b"Message-ID: <1@x>\nSubject: s\nFrom: f@x\nTo: a@x, b@x\nContent-Type: text/html\n\n<p>hi</p>"), ("n.eml", b"Subject: t\n\nplain"), ("o.eml", None)], "path string, content binary")
+    first, again = ({tuple(r) for r in L.exported(mails, "p", "in").select("export_id", "subject", "text_body", "html_body").collect()} for _ in range(2))
+    assert first == again and {r[1:] for r in first} == {("s", None, "<p>hi</p>"), ("t", "plain", None)}
+
+
+def test_schemas(spark, sf):
+    from siltstone.sources import schemas as H
+
+    for name in H.TABLES:
+        frame = spark.read.parquet(f"{sf}/{name}.parquet")
+        assert [(f.name, f.dataType.simpleString()) for f in H.schema(name).fields] == [(f.name, f.dataType.simpleString()) for f in frame.schema.fields], name
+    odd = spark.createDataFrame([("a", "x", "9"), ("b", "7", None)], "id string, usage_count string, more string")
+    assert [(r["id"], r["usage_count"], r["title"]) for r in H.conform(odd, "episodes").orderBy("id").collect()] == [("a", None, None), ("b", 7, None)]
