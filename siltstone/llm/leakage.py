@@ -55,7 +55,13 @@ class Patterns:
             hashes = np.zeros(len(starts), dtype=np.uint64)
             for i in range(size):
                 hashes = hashes * np.uint64(STEP) + stream[starts + i].astype(np.uint64)
-        order = np.argsort(hashes, kind="stable")
+        owner = np.searchsorted(begins, starts, "right")
+        order = np.lexsort((owner, hashes))
+        # a run that a passage repeats is one pattern
+        again = np.flatnonzero((hashes[order][1:] == hashes[order][:-1]) & (owner[order][1:] == owner[order][:-1])) + 1
+        for i in range(size):
+            again = again[stream[starts[order[again]] + i] == stream[starts[order[again - 1]] + i]]
+        order = np.delete(order, again)
         self.hashes, self.starts = hashes[order], starts[order].astype(np.int32 if len(stream) < 1 << 31 else np.int64)
 
     def keys(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -41,3 +41,10 @@ def test_against_brute_force(spark):
 def test_on_tables(spark, sf):
     read = lambda n, *c: [tuple(r) for r in spark.read.parquet(f"{sf}/{n}.parquet").select(*c).collect()]
     assert {tuple(r) for r in L.p8_found(spark, sf).collect()} == brute(read("documents", "doc_id", "text"), read("eval_items", "item_id", "passage"))
+
+
+def test_a_passage_that_repeats_itself():
+    """Runs that come back within a passage are one pattern, so a long repetition takes time in proportion to its length."""
+    matcher = L.WuManber([(1, "word " * 60_000), (2, "word " * 20), (3, "a b " * 30)])
+    assert len(matcher.tables[0].starts) == 4
+    assert matcher.items_in(["word"] * 20_000) == {1, 2} and matcher.items_in(["a", "b"] * 7) == {3} and matcher.items_in(["word"] * 12) == set()
