@@ -7,9 +7,11 @@ by the document's key everywhere, so that results do not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: Sides below this many bytes are sent to every executor; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Trigram search: pairs of a name and a query for one task, names in one task, and pairs that wait until the best of each query are kept.
+PIECE_PAIRS, PIECE_ROWS, WAITING_PAIRS = 1 << 30, 500_000, 1_000_000
 
 
 def small(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -116,13 +120,104 @@ def trigram_similarity(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(shared / F.nullif(F.size(ta) + F.size(tb) - shared, F.lit(0)), F.lit(0.0))
 
 
-def trigram_search(names: DataFrame, queries: DataFrame, key: str, name: str, query_key: str, query: str, threshold: float) -> DataFrame:
-    """Names similar to a query: candidates share a trigram, counted per pair, so the exact similarity needs no second look at the texts."""
-    grams = names.select(key, X.trigrams(name).alias("gs")).select(key, "gs", F.size("gs").alias("n")).select(key, F.explode("gs").alias("g"), "n")
-    asked = small(queries.select(query_key, X.trigrams(query).alias("gs")).select(query_key, F.explode("gs").alias("g"), F.size("gs").alias("m")))
-    shared = grams.join(asked, "g").groupBy(query_key, key, "n", "m").agg(F.count(F.lit(1)).alias("s"))
-    scored = shared.select(query_key, key, (F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+def trigram_search(names: DataFrame, queries: DataFrame, key: str, name: str, query_key: str, query: str, threshold: float, k: int, digits: int = 6, block_rows: int = 20_000) -> DataFrame:
+    """query_key, key, score and rank of the best ``k`` names of each query that reach the threshold, by the rounded score, then the key.
+
+    A text's trigrams are those of its distinct words, so names of the same words are scored once,
+    and only the ``k`` least keys among them can be among the best. Queries of the same words are
+    asked once, in blocks of bounded size; each piece of the names keeps its own best ``k`` before
+    the shuffle. Rows count as they come: a repeated one is ranked twice.
+    """
+
+    def words(c: str) -> Column:
+        return F.array_join(F.sort_array(F.array_distinct(X.ascii_tokens(c))), " ")
+
+    def best(frame: DataFrame, by: str, *order: Column) -> DataFrame:
+        return frame.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+
+    # names without words go afterwards: the condition would move below the window and take every name apart a second time
+    members = cut_lineage(best(names.select(key, words(name).alias("_words")), "_words", F.asc_nulls_last(key))).where("_words <> ''")
+    groups = members.where("rank = 1").select("_words", F.col(key).alias("_least"))
+    asked = queries.select(query_key, words(query).alias("_asked")).where("_asked <> ''")
+    texts = cut_lineage(asked.select("_asked").distinct())
+    count, rows = texts.count(), groups.count()
+    blocks = max(1, -(-count // block_rows))
+    # an exchange that is asked for by number is not made smaller again: the work lies in the pairs, not in the bytes
+    pieces = groups.repartition(max(rows * min(count, block_rows) // PIECE_PAIRS, rows // PIECE_ROWS) + 1, "_words").sortWithinPartitions(F.asc_nulls_last("_least"))
+    found = None
+    for number in range(blocks):
+        part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("_asked"), F.lit(blocks)) == number)
+        one = _alike(pieces, [r[0] for r in part.collect()], threshold, k, digits)  # at most about a block
+        found = one if found is None else found.unionByName(one)
+    # k groups before a group have k keys before its keys
+    first = best(found, "_asked", F.desc("score"), F.asc_nulls_last("_least")).select("_asked", "_words", "score")
+    nearest = best(members.drop("rank").join(first, "_words"), "_asked", F.desc("score"), F.asc_nulls_last(key))
+    nearest = cut_lineage(nearest.select("_asked", key, "score"))
+    return best(asked.join(small(nearest), "_asked").select(query_key, key, "score"), query_key, F.desc("score"), F.asc_nulls_last(key))
+
+
+def _trigrams(words: str) -> set[str]:
+    """As ``text.trigrams``, of lower-case words with a blank between them."""
+    return {f"  {w} "[i : i + 3] for w in words.split(" ") for i in range(len(w) + 1)}
+
+
+def _alike(groups: DataFrame, texts: list[str], threshold: float, k: int, digits: int) -> DataFrame:
+    """The best ``k`` groups of every partition for each text, by counts over the texts' inverted index; partitions come sorted, so that of equal scores the first are the best."""
+    lists: dict[str, list[int]] = {}
+    for i, text in enumerate(texts):
+        for gram in _trigrams(text):
+            lists.setdefault(gram, []).append(i)
+    sizes = np.array([len(_trigrams(text)) for text in texts], dtype=np.int64)
+    shared = groups.sparkSession.sparkContext.broadcast((texts, {gram: np.array(at, dtype=np.int64) for gram, at in lists.items()}, sizes))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, lists, sizes = shared.value
+        unit, low = 10.0**digits, max(0.0, threshold - 10.0**-digits)
+        floor = np.full(len(texts), -1.0)  # the k-th best score so far; a later group must exceed it
+        kept, rows = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), None
+
+        @lru_cache(maxsize=64)
+        def least(n: int) -> np.ndarray:
+            """So many shared trigrams a group of ``n`` needs at least."""
+            return np.maximum(1, np.ceil(low / (1 + low) * (n + sizes)).astype(np.int64))
+
+        def prune(parts: list[tuple]) -> tuple:
+            which, score, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, -score, which))
+            which, score, at = which[order], score[order], at[order]
+            place = np.arange(len(which)) - np.searchsorted(which, which)
+            floor[which[place == k - 1]] = score[place == k - 1]
+            return which[place < k], score[place < k], at[place < k]
+
+        for batch in batches:
+            parts, waiting, start = [kept], 0, rows.num_rows if rows else 0
+            for at, text in enumerate(batch.column("_words").to_pylist(), start):
+                grams = _trigrams(text)
+                hits = [lists[g] for g in grams if g in lists]
+                if not hits:
+                    continue
+                s = np.bincount(np.concatenate(hits), minlength=len(sizes))
+                which = np.flatnonzero(s >= least(len(grams)))
+                s = s[which]
+                score = np.floor(s / (len(grams) + sizes[which] - s) * unit + 0.5) / unit
+                good = (score >= threshold) & (score > floor[which])
+                if good.any():
+                    parts.append((which[good], score[good], np.full(np.count_nonzero(good), at)))
+                    waiting += len(parts[-1][0])
+                if waiting > WAITING_PAIRS:
+                    parts, waiting = [prune(parts)], 0
+            which, score, at = prune(parts)
+            rows = pa.Table.from_batches([*(rows.to_batches() if rows else []), batch])
+            used = np.unique(at)
+            rows, kept = rows.take(used).combine_chunks(), (which, score, np.searchsorted(used, at))
+        if rows:
+            which, score, at = kept
+            for i in range(0, len(which), 10_000):
+                some = rows.take(at[i : i + 10_000]).combine_chunks()
+                columns = [pa.array([texts[j] for j in which[i : i + 10_000]], pa.string()), *some.columns, pa.array(score[i : i + 10_000])]
+                yield from pa.table(columns, names=["_asked", "_words", "_least", "score"]).to_batches()
+
+    return groups.mapInArrow(search, f"_asked string, _words string, _least {groups.schema['_least'].dataType.simpleString()}, score double")
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, key: str = "doc_id", stream: str = "stream", rank: str = "rank", k: int = RRF_K, by: Sequence[str] = ()) -> DataFrame:

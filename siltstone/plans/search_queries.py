@@ -87,9 +87,7 @@ SELECT query_id, p_partkey, score, CAST(rank AS INTEGER) AS rank FROM k WHERE ra
 def trigram_topk(spark, d):
     """Names like those of every part whose key is divisible by 100."""
     asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    scored = S.trigram_search(table(spark, d, "part"), asked, "p_partkey", "p_name", "query_id", "query", 0.0)
-    rounded = scored.withColumn("score", F.round("score", 6)).where("score >= 0.3")
-    return S.top_k(rounded, 20, key="p_partkey")
+    return S.trigram_search(table(spark, d, "part"), asked, "p_partkey", "p_name", "query_id", "query", 0.3, 20)
 
 
 @query(

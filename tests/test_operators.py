@@ -1,6 +1,8 @@
 import datetime as dt
 import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +75,44 @@ def test_knn_blocks_agree(spark):
     assert best == {i: i for i in range(5)}
 
 
+def test_trigram_search_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = "red reed blue bluer bolt bolts aaaa aaaaa x 42".split()
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 4))) for _ in range(80)]
+    rows = [*enumerate(texts + ["Bolt, RED", "red-bolt", None, "", "…"]), (None, texts[0]), (3, texts[3]), (3, texts[4])]
+    names = spark.createDataFrame(rows, "k int, name string").repartition(3)
+    asked = names.where("k % 3 = 0").selectExpr("k AS q", "name AS query")
+
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", (text or "").lower()) for i in range(len(w) + 1)}
+
+    pairs = {}
+    for q, query in rows:
+        for k, name in rows if q is not None and q % 3 == 0 else ():
+            a, b = grams(query), grams(name)
+            if a & b and (score := round(len(a & b) / len(a | b), 6)) >= 0.3:
+                pairs.setdefault(q, []).append((-score, k is None, k))
+    expected = sorted((q, i + 1, k, -s) for q, found in pairs.items() for i, (s, _, k) in enumerate(sorted(found, key=lambda x: (x[:2], x[2] or 0))[:7]))
+    assert any(k is None for q, _, k, _ in expected) and {q: len(x) for q, x in pairs.items()}[3] > 14
+    for block, waiting, piece in ((20_000, 1_000_000, 1 << 30), (5, 3, 100)):
+        monkeypatch.setattr(S, "WAITING_PAIRS", waiting)
+        monkeypatch.setattr(S, "PIECE_PAIRS", piece)
+        got = S.trigram_search(names, asked, "k", "name", "q", "query", 0.3, 7, block_rows=block)
+        assert sorted((r["q"], r["rank"], r["k"], r["score"]) for r in got.collect()) == expected
+    assert S.trigram_search(names.limit(0), asked, "k", "name", "q", "query", 0.3, 7).count() == 0
+    assert S.trigram_search(names, asked.limit(0), "k", "name", "q", "query", 0.3, 7).count() == 0
+
+
+def test_trigram_search_of_many_equal_names(spark):
+    """Fails by time where every query meets every name: 100,000 names against 1,000 of them are 10^8 pairs."""
+    names = spark.range(100_000).selectExpr("id AS k", "element_at(array('red bolt', 'bolt red', 'Red bolts', 'old plate'), CAST(id % 4 AS INT) + 1) AS name")
+    asked = names.where("k % 100 = 0").selectExpr("k AS q", "name AS query")
+    began = time.monotonic()
+    got = S.trigram_search(names, asked, "k", "name", "q", "query", 0.3, 20).collect()
+    assert time.monotonic() - began < 60
+    assert sorted((r["rank"], r["k"], r["score"]) for r in got if r["q"] == 500) == [(i + 1, 4 * (i // 2) + i % 2, 1.0) for i in range(20)] and len(got) == 20_000
+
+
 def test_exact_duplicates_and_collapse(spark):
     frame = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, None), (5, ""), (6, "")], "doc_id int, text string")
     assert {tuple(r) for r in D.exact_duplicates(frame, "doc_id", "text").collect()} == {(1, 1, 1), (3, 1, 1), (2, 2, 0), (5, 5, 1), (6, 5, 1)}
